@@ -14,6 +14,7 @@ each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,7 +23,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,9 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK = 65_536
 #: Words kept with their ids in a worker; beyond it the cache starts afresh.
-CACHE_WORDS = 400_000
-#: White space to str.split but not to the tokenizer.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+CACHE_WORDS = 1_000_000
+#: White space to str.split but not to the tokenizer.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,14 +50,14 @@ class WordEncoder:
     """Ids of whole texts.  The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        self.tokenizer, self.known, self.end = _tokenizer(path), {}, np.uint32(end_id).tobytes()
+        self.tokenizer, self.known, self.end = _tokenizer(path), {}, struct.pack("<I", end_id)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and the end id."""
-        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)] if _ODD_SPACE.search("\n".join(texts)) else []
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD_SPACE)]
         words = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
@@ -73,12 +73,18 @@ class WordEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(path)
+    encoder = _encoder(path)
     step = 4 * capacity
     for batch in small_slices(batches):
         rows = []
