@@ -1,12 +1,18 @@
 """SimHash near-duplicates found in BK-trees.
 
-Fingerprints are 64 bits of word shingles.  Two fingerprints that differ in at most ``radius`` bits agree
-on one of radius + 1 blocks of bits, so the distinct fingerprints are dealt once for each block by its
-value, and each value's shard is a BK-tree: children keyed by the integer Hamming distance to their
-parent, a query following only edges within the radius of its own distance.  A shard of over
-``shard_rows`` fingerprints becomes several trees of about that size, to each of which all of the shard's
-fingerprints are sent, so one crowded value never meets in one task.  Trees report spanning links, not
-all pairs; components come from alternating star contractions over these links.
+A fingerprint has 64 bits of word shingles, or several such words of independent hashes.  Distinct
+fingerprints are dealt over shards, and a shard is a BK-tree: children keyed by the integer Hamming
+distance to their parent, a query following only edges within the radius of its own distance.
+
+Exact links (``near_duplicates`` with one word): two fingerprints that differ in at most ``radius`` bits agree
+on one of radius + 1 blocks of bits, so each fingerprint is in a shard for each block, by its value, and
+no link is lost.  Links by similarity (``similar_documents``): a radius that stands for a shingle
+similarity of 0.8 is too wide for blocks of bits; there the shards are bands of minima of the shingles'
+hashes, which texts of that similarity share (all but one in some ten thousand), and fingerprints are eight words.
+
+A shard of over ``shard_rows`` fingerprints becomes several trees of about that size, to each of which all of
+the shard's fingerprints are sent, so one crowded value never meets in one task.  Trees report spanning
+links, not all pairs; components come from alternating star contractions over these links.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are kept;
 a null doc_id is no component's smallest id unless the whole component has none (then component_id is null);
@@ -16,6 +22,7 @@ empty tables give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
@@ -28,65 +35,130 @@ from pyspark.sql import functions as F
 from .common import batch_of, lower_ascii, partitions, popcount, small_slices, stored, table, texts_of
 
 SHINGLE = 3
-#: Words of a shingle where no contract says otherwise.
-SHINGLE_NEAR = 5
 RADIUS = 3
-BITS = 64
+#: Words of a shingle, similarity and 64-bit words of a fingerprint where no contract says otherwise.
+SHINGLE_NEAR, SIMILARITY, WORDS_NEAR = 5, 0.8, 8
+#: Bands of minima, and minima in a band.
+BANDS, BAND_ROWS = 12, 3
 SHARD_ROWS = 16_384
 #: Query-node pairs that a tree walk holds at a time, and rows of shards joined into one walk.
-FRONTIER = 1_000_000
+FRONTIER = 500_000
 WALK_ROWS = 200_000
 
+#: Ones of each byte's bits, low bit first.
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_ODD = np.random.default_rng(9).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
-def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles, repeats included; of the whole sequence if it is shorter; none without words."""
     words = lower_ascii(text).split()
     if not words:
-        return []
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = [*accumulate(map(len, words), lambda a, n: a + 1 + n)]
     if len(words) <= size:
-        return [xxhash.xxh64_intdigest(joined, 42)]
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = [*accumulate(map(len, words), lambda a, n: a + 1 + n)]
     starts = [0, *(e + 1 for e in ends[: len(words) - size])]
-    return [*map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(starts, ends[size - 1 :])], repeat(42))]
+    n = len(starts)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(starts, ends[size - 1 :])], repeat(42)), np.uint64, n)
+
+
+def remixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """(n, words): the hashes themselves, then independent mixtures of them."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for k in range(1, words):
+        x = (hashes ^ (hashes >> np.uint64(29))) * _ODD[k]
+        x = (x ^ (x >> np.uint64(32))) * _ODD[k + 16]
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """`words` unsigned words; a bit is set if over half of the hashes have it."""
+    counts = np.zeros((8 * words, 8), np.int64)
+    place = np.arange(8 * words) * 256
+    for at in range(0, len(hashes), 50_000):
+        part = remixed(hashes[at : at + 50_000], words)
+        # Counts of each byte's values, then of its bits.
+        values = np.bincount((part.view(np.uint8).reshape(len(part), -1) + place).ravel(), minlength=2048 * words)
+        counts += values.reshape(-1, 256) @ _BITS_OF
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").ravel().view("<u8")
+
+
+def block_shards(fp: int, radius: int) -> list[int]:
+    """One shard for each of radius + 1 blocks of a 64-bit fingerprint: the block's number and its bits."""
+    width = 64 // (radius + 1)
+    widths = [width] * radius + [64 - width * radius]
+    out, at = [], 0
+    for k, w in enumerate(widths):
+        out.append(((fp >> at & (1 << w) - 1) << 4 | k) & (1 << 63) - 1)
+        at += w
+    return out
+
+
+def band_shards(hashes: np.ndarray) -> list[int]:
+    """One shard for each band of minima of remixed hashes; one for all texts without words."""
+    if not len(hashes):
+        return [0]
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 50_000):
+        part = hashes[at : at + 50_000]
+        part = part ^ (part >> np.uint64(31))
+        for k in range(len(least)):
+            x = part * _ODD[k]
+            least[k] = min(least[k], (x ^ (x >> np.uint64(32))).min())
+    bands = least.reshape(BANDS, BAND_ROWS).astype("<u8")
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) >> 1 for k, b in enumerate(bands)]
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """Unsigned; a bit is set if over half of the shingle hashes have it."""
-    hashes = np.array(shingle_hashes(text, size), np.uint64)
-    if not len(hashes):
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 100_000):
-        rows = hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+_PRINTS = "doc_id long, id long, fp binary, shards array<long>"
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, words: int, radius: int | None) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("fp", pa.binary()), ("shards", pa.list_(pa.int64()))])
     for batch in small_slices(batches):
-        fps = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
-        yield batch_of({"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}, schema)
+        fps, shards = [], []
+        for text in batch.column("text").to_pylist():
+            hashes = shingle_hashes(text, size)
+            fps.append(fingerprint(hashes, words))
+            shards.append(block_shards(int(fps[-1][0]), radius) if radius is not None else band_shards(hashes))
+        raw = [f.tobytes() for f in fps]
+        ids = np.array([f[0] if words == 1 else xxhash.xxh64_intdigest(r) for f, r in zip(fps, raw)], np.uint64).view(np.int64)
+        yield batch_of({"doc_id": batch.column("doc_id"), "id": ids, "fp": raw, "shards": shards}, schema)
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1, radius: int | None = RADIUS) -> DataFrame:
+    """doc_id, id (of the fingerprint: a single word's bits, else a hash), fp, shards: by blocks for a radius, by bands without."""
+    return texts_of(docs).mapInArrow(functools.partial(_fingerprints, size=size, words=words, radius=radius), _PRINTS)
+
 
+def radius_of(similarity: float, words: int) -> int:
+    """Expected differing bits of texts whose shingle sets have this Jaccard similarity, and two deviations more."""
+    bits = 64 * words
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    return texts_of(docs).mapInArrow(functools.partial(_fingerprints, size=size), "doc_id long, fp long")
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return popcount(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class BKForest:
     """BK-trees of many groups, built and walked level by level for all groups at once."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
-        """fp: uint64; group: not negative, ascending."""
+        """fp: (n, words) of uint64; group: not negative, ascending."""
         self.fp = fp
+        self.scale = 64 * fp.shape[1] + 1
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(fp) else np.zeros(0, np.int64)
         self.groups, self.roots = group[first], first
         at = first[np.searchsorted(self.groups, group)]  # the node that an item stands at
         active = np.setdiff1d(np.arange(len(fp)), first, assume_unique=True)
         keys, children = [], []
         while len(active):
-            edge = at[active] * (BITS + 1) + popcount(fp[active] ^ fp[at[active]])
+            edge = at[active] * self.scale + distance(fp[active], fp[at[active]])
             found, lead, inverse = np.unique(edge, return_index=True, return_inverse=True)
             keys.append(found)
             children.append(active[lead])
@@ -94,33 +166,33 @@ class BKForest:
             active = np.delete(active, lead)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
         self.children = np.concatenate(children)[order] if children else np.zeros(0, np.int64)
+        parent, self.edge = np.divmod(keys[order], self.scale)
+        self.begin = np.searchsorted(parent, np.arange(len(fp) + 1))
 
     def near(self, fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of (query, item) with a distance of radius or less in the query's group."""
-        at = np.searchsorted(self.groups, group)
-        inside = (at < len(self.groups)) & (self.groups[np.minimum(at, len(self.groups) - 1)] == group) if len(self.groups) else np.zeros(len(fp), bool)
-        q = np.flatnonzero(inside)
+        if not len(self.groups):
+            return
+        at = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
+        q = np.flatnonzero(self.groups[at] == group)
         stack = [(q, self.roots[at[q]])]
         while stack:
             q, node = stack.pop()
             if len(q) > FRONTIER:
                 stack.append((q[FRONTIER:], node[FRONTIER:]))
                 q, node = q[:FRONTIER], node[:FRONTIER]
-            if not len(q):
-                continue
-            d = popcount(fp[q] ^ self.fp[node]).astype(np.int64)
+            d = distance(fp[q], self.fp[node])
             hit = d <= radius
             if hit.any():
                 yield q[hit], node[hit]
-            base = node * (BITS + 1)
-            lo = np.searchsorted(self.keys, base + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.keys, base + np.minimum(d + radius, BITS), side="right") - lo
+            lo = self.begin[node]
+            n = self.begin[node + 1] - lo
             total = int(n.sum())
             if total:
-                steps = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                stack.append((np.repeat(q, n), self.children[np.repeat(lo, n) + steps]))
+                child = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+                on = np.abs(self.edge[child] - np.repeat(d, n)) <= radius
+                stack.append((np.repeat(q, n)[on], self.children[child[on]]))
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -142,7 +214,7 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _links_of(group: np.ndarray, fp: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (larger, smaller index) of the rows' groups."""
+    """Spanning links (index, smaller index) of the rows' groups."""
     items = np.flatnonzero(in_tree)
     forest = BKForest(fp[items], group[items])
     label = np.arange(len(fp))
@@ -152,20 +224,23 @@ def _links_of(group: np.ndarray, fp: np.ndarray, in_tree: np.ndarray, radius: in
     return linked, label[linked]
 
 
-def _walk(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, part, fp, in_tree) come by shard and part, a tree's own rows first."""
+def _walk(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, part, id, fp, in_tree) come by shard and part, a tree's own rows first."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, words), np.uint64)]
 
     def walked(rows: list[np.ndarray]) -> pa.RecordBatch:
-        shard, part, fp, in_tree = rows
+        shard, part, ids, in_tree, fp = rows
         group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]) if len(fp) else np.zeros(0, np.int64)
-        a, b = _links_of(group, fp.view(np.uint64), in_tree, radius)
-        return batch_of({"a": np.maximum(fp[a], fp[b]), "b": np.minimum(fp[a], fp[b])}, schema)
+        a, b = _links_of(group, fp, in_tree, radius)
+        return batch_of({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b])}, schema)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "part", "fp", "in_tree")]
-        held = [np.concatenate([x, y]) for x, y in zip(held, new)]
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "part", "id", "in_tree")]
+        fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, words)
+        held = [np.concatenate([x, y]) for x, y in zip(held, [*new, fp])]
         if len(held[0]) < WALK_ROWS:
             continue
         # The last group may go on: its tree's rows stay; if only tree rows have come, it waits as a whole.
@@ -180,28 +255,21 @@ def _walk(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield walked(held)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Spanning links a > b between the distinct fingerprints of fps(fp) that differ in at most radius bits."""
-    width = BITS // (radius + 1)
-    blocks = F.array(
-        *(
-            F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", BITS - width * (k + 1)), BITS - width).alias("value"))
-            for k in range(radius + 1)
-        )
-    )
-    keyed = fps.select("fp", F.explode(blocks).alias("x")).select("fp", (F.col("x.block").cast("long") * (1 << width) + F.col("x.value")).alias("shard"))
-    sizes = keyed.groupBy("shard").count().where(F.col("count") > shard_rows)
-    parts = F.coalesce(F.ceil(F.col("count") / shard_rows).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+def links(prints: DataFrame, radius: int, words: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Spanning links a > b between the ids of prints(id, fp, shards), each fingerprint once, that share a shard and differ in at most radius bits."""
+    keyed = prints.select("id", "fp", F.explode("shards").alias("shard"))
+    # A shard of one fingerprint links nothing; counts come from ids and shards alone.
+    sizes = prints.select(F.explode("shards").alias("shard")).groupBy("shard").count().where("count > 1")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = (
-        keyed.join(sizes, "shard", "left")
-        .withColumn("parts", parts)
-        .select("shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .select("shard", F.col("part").cast("long").alias("part"), "fp", (F.col("own") == F.col("part")).alias("in_tree"))
-        .repartition(partitions(fps.sparkSession), "shard", "part")
-        .sortWithinPartitions("shard", "part", F.col("in_tree").desc(), "fp")
+        keyed.join(sizes, "shard")
+        .withColumn("parts", F.ceil(F.col("count") / shard_rows).cast("int"))
+        .select("shard", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .select("shard", F.col("part").cast("long").alias("part"), "id", "fp", (F.col("own") == F.col("part")).alias("in_tree"))
+        .repartition(partitions(prints.sparkSession), "shard", "part")
+        .sortWithinPartitions("shard", "part", F.col("in_tree").desc(), "id")
     )
-    return dealt.mapInArrow(functools.partial(_walk, radius=radius), "a long, b long")
+    return dealt.mapInArrow(functools.partial(_walk, radius=radius, words=words), "a long, b long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -228,18 +296,29 @@ def components(pairs: DataFrame) -> DataFrame:
     return members.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    prints = stored(fingerprints(docs, size))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), radius, shard_rows)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _grouped(prints: DataFrame, radius: int, words: int, shard_rows: int) -> DataFrame:
+    """doc_id, id, component_id of every row of prints."""
+    prints = stored(prints)
+    # One row for each fingerprint before anything is dealt: copies, however many, are one.
+    distinct = stored(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("fp", "shards"), F.hash("shards")).alias("one")))
+    found = components(links(distinct.select("id", "one.fp", "one.shards"), radius, words, shard_rows)).select(F.col("node").alias("id"), "root")
+    rooted = distinct.select("id", "least").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Distinct fingerprints only: the hot side of the last join is prints, whose large partitions adaptive execution splits.
-    by_print = stored(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # The hot side of the last join is prints, whose large partitions adaptive execution splits.
+    by_print = stored(rooted.select("id", "root").join(smallest, "root").select("id", "component_id"))
+    return prints.select("doc_id", "id").join(by_print, "id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, id (the 64-bit fingerprint), component_id of every row: fingerprints link at radius or fewer differing bits."""
+    return _grouped(fingerprints(docs, size, 1, radius), radius, 1, shard_rows)
+
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE_NEAR, similarity: float = SIMILARITY, words: int = WORDS_NEAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, id, component_id of every row: texts link whose fingerprints differ no more than those of texts of this shingle similarity."""
+    return _grouped(fingerprints(docs, size, words, None), radius_of(similarity, words), words, shard_rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
