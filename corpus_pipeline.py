@@ -35,8 +35,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id (and one of the rows that repeat its id); rows without an id all stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), size=simhash.SHINGLE_NEAR)
+    """Of documents whose five-word shingles have a similarity of 0.8 or more one of each group stays, the one of the smallest id (and one of the rows that repeat its id); rows without an id all stay."""
+    groups = simhash.similar_documents(docs.where("doc_id is not null").select("doc_id", "text"))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
     return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
