@@ -32,8 +32,11 @@ from .common import batch_of, id_remainder, small_slices, stored, table, texts_o
 from .langid import letters
 
 PER_CLASS = 4_000
-LEXICON = 300
+#: Candidates for the lexicon.
+LEXICON = 1_000
 LEAST_LIFT, LEAST_SURPRISE = 10, 12
+#: Share of toxic texts from which a term needs no other reason.
+COMMON = 0.03
 #: Characters on either side of a hit.
 WINDOW = 60
 FUZZY_FROM = 5
@@ -53,13 +56,14 @@ class Automaton:
     (EXACT, FUZZY, or 0) and weight[state] its lexicon weight.  STEM states accept at once.
     """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.alphabet = {c: k for k, c in enumerate(sorted(set("".join([*words, *stems]))), 1)}  # 0: any other
+    def __init__(self, words: dict[str, float], stems: dict[str, float], harmless: tuple[str, ...] = ()):
+        self.alphabet = {c: k for k, c in enumerate(sorted(set("".join([*words, *stems, *harmless]))), 1)}  # 0: any other
         nodes: list[dict[str, int]] = [{}]
         is_word: dict[int, float] = {}
         is_stem: dict[int, float] = {}
+        is_harmless: dict[int, float] = {}
         fuzzy_ok: set[int] = set()  # nodes on the way to a word that may be misspelt
-        for terms, ends in ((words, is_word), (stems, is_stem)):
+        for terms, ends in ((words, is_word), (stems, is_stem), (dict.fromkeys(harmless, 0.0), is_harmless)):
             for term, w in terms.items():
                 at = 0
                 if terms is words and len(term) >= FUZZY_FROM:
@@ -91,6 +95,8 @@ class Automaton:
             stem = max((is_stem[n] for n, e in current if e == 0 and n in is_stem), default=None)
             exact = max((is_word[n] for n, e in current if e == 0 and n in is_word), default=None)
             fuzzy = max((long_word[n] for n, e in current if e == 1 and n in long_word), default=None)
+            if exact is None and any(e == 0 and n in is_harmless for n, e in current):
+                fuzzy = None
             kinds.append(EXACT if exact is not None else STEM if stem is not None else FUZZY if fuzzy is not None else 0)
             weights.append(next((x for x in (exact, stem, fuzzy) if x is not None), 0.0))
             row = []
@@ -142,8 +148,16 @@ class Automaton:
 
 
 class Lexicon:
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems, self.automaton = words, stems, Automaton(words, stems)
+    def __init__(self, words: dict[str, float], stems: dict[str, float], harmless: tuple[str, ...] = ()):
+        """harmless: words that resemble a lexicon word but occur in clean texts."""
+        self.words, self.stems, self.harmless = words, stems, harmless
+        self.automaton = Automaton(words, stems, harmless)
+
+    def resembling(self, text: str) -> set[str]:
+        """The words of the text that count as misspelt lexicon words."""
+        lower, _ = letters([text])
+        at, kind, _ = self.automaton.hits(lower)
+        return {_WORD.match(text, int(i) - 1)[0].lower() for i in at[kind == FUZZY]}
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Of each text: weights of plain exact, stem and misspelt hits, of quoted ones, bursts, any hit, and the share of words hit."""
@@ -166,7 +180,7 @@ class Lexicon:
             out[:, k - 1] = np.log1p(np.bincount(doc[plain], weight[plain], len(texts)))
         out[:, 3] = np.log1p(np.bincount(doc[quoted], weight[quoted], len(texts)))
         out[:, 4] = np.log1p(np.bincount(doc[near & ~quoted], minlength=len(texts)))
-        out[:, 5] = np.bincount(doc[~quoted & (kind != FUZZY)], minlength=len(texts)) > 0
+        out[:, 5] = np.bincount(doc[~quoted & (kind > 0)], minlength=len(texts)) > 0
         out[:, 6] = np.minimum(1, 20 * np.bincount(doc[~quoted], minlength=len(texts)) / np.maximum(1, n_words))
         return out
 
@@ -218,21 +232,69 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def _lexicon_of(rows: list, n_toxic: int, n_clean: int) -> Lexicon:
-    """Stems first (they cover their words), then words that no stem covers."""
-    stems, words = {}, {}
-    weigh = lambda r: math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
-    found = sorted(rows, key=lambda r: (-r["toxic"], len(r["term"]), r["term"]))
-    for r in found:
-        if r["stem"] and not any(r["term"].startswith(s) for s in stems):
-            whole = next((x for x in found if not x["stem"] and x["term"].startswith(r["term"])), None)
-            # A beginning that one word alone explains says no more than that word.
-            if whole is None or whole["toxic"] < 0.8 * r["toxic"]:
-                stems[r["term"]] = weigh(r)
-    for r in found:
-        if not r["stem"] and not any(r["term"].startswith(s) for s in stems):
-            words[r["term"]] = weigh(r)
-    return Lexicon(words, stems)
+def _held_terms(batches: Iterator[pa.RecordBatch], terms: list[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    """Of each text its label and which of the terms it has."""
+    schema = pa.schema([("toxic", pa.int32()), ("held", pa.list_(pa.int32()))])
+    place = {t: k for k, t in enumerate(terms)}
+    for batch in small_slices(batches):
+        held = []
+        for text in batch.column("text").to_pylist():
+            words, stems = _terms(text)
+            held.append([place[t] for x, stem in ((words, False), (stems, True)) for t in ((w, stem) for w in x) if t in place])
+        yield batch_of({"toxic": batch.column("toxic"), "held": held}, schema)
+
+
+def _resembling(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    for batch in small_slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column("text").to_pylist() for w in lexicon.resembling(t)], pa.string())], names=["word"])
+
+
+def surprise_of(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
+    """Log-likelihood ratio of the term's toxic texts against chance."""
+    return toxic * math.log((toxic + 0.5) / (toxic + clean + 1) / (n_toxic / (n_toxic + n_clean)))
+
+
+def choose(terms: list[tuple[str, bool]], rows: list) -> Lexicon:
+    """Terms one by one: always the most surprising one among the toxic texts that no chosen term explains.
+
+    What texts share only because they are copies of one another goes with the term that made them toxic.
+    Between terms that explain about as much a word beats a beginning, and the longer the shorter.
+    """
+    toxic = np.array([bool(r["toxic"]) for r in rows])
+    has = np.zeros((len(rows), len(terms)), bool)
+    for i, r in enumerate(rows):
+        has[i, r["held"]] = True
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    clean = has[~toxic].sum(axis=0)
+    every = has[toxic].sum(axis=0)
+    open_rows = has[toxic]
+    weight = np.log((every + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    words, stems = {}, {}
+
+    def add(k: int) -> None:
+        (stems if terms[k][1] else words)[terms[k][0]] = float(weight[k])
+
+    def first(gain: list[float]) -> int:
+        near = [k for k in range(len(terms)) if gain[k] >= 0.95 * max(gain)]
+        return max(near, key=lambda k: (not terms[k][1], len(terms[k][0]), gain[k], terms[k][0]))
+
+    while len(open_rows):
+        found = open_rows.sum(axis=0).tolist()
+        gain = [surprise_of(t, c, len(open_rows), n_clean) if t else 0.0 for t, c in zip(found, clean.tolist())]
+        best = first(gain)
+        if gain[best] < LEAST_SURPRISE:
+            break
+        add(best)
+        open_rows = open_rows[~open_rows[:, best]]
+    # Terms that many toxic texts have and next to no others, though each of these has another term too.
+    for k in sorted(range(len(terms)), key=lambda k: (-every[k], terms[k][1], -len(terms[k][0]), terms[k][0])):
+        term, is_stem = terms[k]
+        if every[k] < COMMON * n_toxic or weight[k] < math.log(10 * LEAST_LIFT) or any(term.startswith(t) for t in stems):
+            continue
+        if is_stem and any(t.startswith(term) for t in [*words, *stems]):
+            continue
+        add(k)
+    return Lexicon({w: x for w, x in words.items() if not any(w.startswith(t) for t in stems)}, stems)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
@@ -242,15 +304,20 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.Rec
         yield batch_of({"toxic": batch.column("toxic"), "x": x.tolist()}, schema)
 
 
+#: Weights before learning: a misspelt term counts as a term until labelled texts tell otherwise.
+PRIOR = (2.0, 2.0, 2.0, 0.0, 0.0, 1.0, 0.5)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 0.02) -> tuple[np.ndarray, float]:
-    """Weights and bias, by Newton steps; the classes weigh as they occur."""
+    """Weights and bias, by Newton steps from and towards PRIOR; the classes weigh as they occur."""
     rows = np.c_[x, np.ones(len(x))]
-    w = np.zeros(rows.shape[1])
+    prior = np.array([*PRIOR, -4.0])
+    w = prior.copy()
     hold = np.full(rows.shape[1], penalty)
     hold[-1] = 1e-4
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows / len(x) + np.diag(hold) / 10 + 1e-9 * np.eye(len(w)), rows.T @ (y - p) / len(x) - hold * w / 10)
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows / len(x) + np.diag(hold) / 10 + 1e-9 * np.eye(len(w)), rows.T @ (y - p) / len(x) - hold * (w - prior) / 10)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -272,17 +339,22 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, per_class: int = PER_CLAS
     counts = texts.mapInArrow(_count_terms, "term string, stem boolean, toxic long, clean long")
     n_toxic, n_clean = min(n[1], per_class), min(n.get(0, 0), per_class)
     lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    # Log-likelihood ratio against chance: what a few texts share by accident stays out.
     surprise = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) / (n_toxic / (n_toxic + n_clean)))
     best = (
         counts.groupBy("term", "stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((surprise >= LEAST_SURPRISE) & (lift >= LEAST_LIFT))
-        .orderBy(F.desc("toxic"), "term", "stem")
-        .limit(2 * lexicon_size)
+        .orderBy(F.desc(surprise), "term", "stem")
+        .limit(lexicon_size)
         .collect()
     )
-    lexicon = _lexicon_of(best, n_toxic, n_clean)
+    terms = [(r["term"], r["stem"]) for r in best]
+    if not terms:
+        return Model(None, np.zeros(N_FEATURES), 0.0)
+    lexicon = choose(terms, texts.mapInArrow(functools.partial(_held_terms, terms=terms), "toxic int, held array<int>").collect())
+    seen = texts.where("toxic = 0").mapInArrow(functools.partial(_resembling, lexicon=lexicon), "word string")
+    harmless = seen.groupBy("word").count().orderBy(F.desc("count"), "word").limit(lexicon_size).collect()
+    lexicon = Lexicon(lexicon.words, lexicon.stems, tuple(r["word"] for r in harmless))
     shared = spark.sparkContext.broadcast(lexicon)
     rows = texts.mapInArrow(functools.partial(_feature_rows, lexicon=shared), "toxic int, x array<double>").collect()
     x, y = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in rows], float)
