@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, dataset
+from . import corpus, dataset, store
 
-MODULES = (corpus, dataset)
+MODULES = (corpus, dataset, store)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
