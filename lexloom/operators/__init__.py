@@ -1,9 +1 @@
-"""Operators by area; QUERIES and ORACLES join their registered queries and SQL."""
-
-from __future__ import annotations
-
-from . import corpus, dataset, grammar, media, store
-
-MODULES = (corpus, dataset, store, media, grammar)
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+"""Operators by area."""
