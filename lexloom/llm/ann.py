@@ -28,14 +28,16 @@ from pyspark.sql import window as W
 from .common import batch_of, partitions, table
 
 NEIGHBOURS = 20
-PROJECTIONS = 128
+PROJECTIONS = 112
 #: Share of the arrays in which a candidate collides.
 THRESHOLD = 0.44
-#: Verified share of a shard; the windows widen until as many rows have reached the threshold.
+#: Verified share of a shard (at least); the windows widen until as many rows have reached the threshold.
 VERIFIED = 0.15
-GROWTH = 1.3
-SHARD_ROWS = 65_536
-LEAST_SHARD = 4_096
+GROWTH = 1.1
+SHARD_ROWS = 65_535
+LEAST_SHARD = 16_384
+#: Queries whose windows are widened together.
+QUERY_BLOCK = 64
 
 
 class Shard:
@@ -48,37 +50,58 @@ class Shard:
         lines = np.c_[vectors, lift] @ self.directions
         order = np.argsort(lines, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(lines, order, 0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
-
-    def candidates(self, query: np.ndarray, wanted: int, threshold: int) -> np.ndarray:
-        """Rows that collide with the query in `threshold` arrays, once there are `wanted` of them."""
+        # Each row's place in each sorted array: a window there is a range of places.
+        place = np.empty(lines.T.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(place, order.T, np.arange(len(ids), dtype=place.dtype)[None], 1)
+        self.place = place
+        # Space for a query's counting and verification, used again by each.
+        self.moved, self.inside = np.empty_like(place), np.empty(place.shape, bool)
+        self.rows = np.empty_like(vectors)
+        self.start = 0.2 * self.norm
+
+    def candidates(self, queries: np.ndarray, wanted: int, threshold: int) -> Iterator[np.ndarray]:
+        """Of each query the rows that collide with it in `threshold` arrays, once there are `wanted` of them.
+
+        Windows of all queries are found together, array by array; a query's rows are counted over all arrays at once.
+        """
         n, m = len(self.ids), len(self.values)
         if wanted >= n:
-            return np.arange(n)
-        centre = (query * (self.norm / np.linalg.norm(query))) @ self.directions[:-1]
-        counts = np.zeros(n, np.int32)
-        half = 0.3 * self.norm
-        lo = hi = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
-        while True:
-            new_lo = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre - half)])
-            new_hi = np.array([np.searchsorted(v, c, side="right") for v, c in zip(self.values, centre + half)])
-            fresh = [self.order[j, a:b] for j in range(m) for a, b in ((new_lo[j], lo[j]), (hi[j], new_hi[j])) if b > a]
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero(counts >= threshold)
-            if len(found) >= wanted or ((lo == 0) & (hi == n)).all():
-                return found
+            yield from (np.arange(n) for _ in queries)
+            return
+        centre = (queries * (self.norm / np.linalg.norm(queries, axis=1))[:, None]) @ self.directions[:-1]
+        found: list[np.ndarray | None] = [None] * len(queries)
+        half, last = self.start, np.zeros(len(queries))
+        open_ = np.arange(len(queries))
+        kind = self.place.dtype
+        while len(open_):
+            lo = np.stack([np.searchsorted(self.values[j], centre[open_, j] - half) for j in range(m)], axis=1)
+            hi = np.stack([np.searchsorted(self.values[j], centre[open_, j] + half, side="right") for j in range(m)], axis=1)
+            everything = (lo == 0).all(axis=1) & (hi == n).all(axis=1)
+            for q, a, b, whole in zip(open_, lo.astype(kind), (hi - lo).astype(kind), everything):
+                # Places below the window wrap round to large numbers.
+                np.subtract(self.place, a[:, None], out=self.moved)
+                np.less(self.moved, b[:, None], out=self.inside)
+                hits = np.flatnonzero(self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint32) >= threshold)
+                if len(hits) >= wanted or whole:
+                    found[q], last[q] = hits, half
+            open_ = np.array([q for q in open_ if found[q] is None], np.int64)
             half *= GROWTH
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best verified candidates."""
-        wanted = k + 1 + math.ceil(VERIFIED * len(self.ids))
-        rows = self.candidates(query, wanted, math.ceil(THRESHOLD * len(self.values)))
-        rows = rows[self.ids[rows] != query_id]
-        scores = (self.vectors[rows] * query).sum(axis=1)
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][best], scores[best]
+        # The next queries start where the easiest of these ended, or a step earlier.
+        self.start = max(self.start, float(last.min()) / GROWTH)
+        yield from found
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and exact scores of the k best verified candidates of each query."""
+        wanted = 10 * k + math.ceil(VERIFIED * len(self.ids))
+        for query_id, query, rows in zip(query_ids, queries, self.candidates(queries, wanted, math.ceil(THRESHOLD * len(self.values)))):
+            rows = rows[self.ids[rows] != query_id]
+            picked = np.take(self.vectors, rows, axis=0, out=self.rows[: len(rows)], mode="clip")
+            scores = np.multiply(picked, query, out=picked).sum(axis=1)
+            if len(rows) > k:
+                on = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[on], scores[on]
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            yield self.ids[rows][best], scores[best]
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iterator[pa.RecordBatch]:
@@ -105,9 +128,10 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iter
             if index is None and ids:
                 index = Shard(np.concatenate(ids), np.concatenate(vectors), projections)
             if index is not None:
-                for i in range(a, b):
-                    found, scores = index.search(int(vec[i]), rows[i - a], k)
-                    out.append((np.full(len(found), vec[i]), np.full(len(found), digest[i]), found, scores))
+                for at in range(a, b, QUERY_BLOCK):
+                    upto = min(b, at + QUERY_BLOCK)
+                    for i, (found, scores) in zip(range(at, upto), index.search(vec[at:upto], rows[at - a : upto - a], k)):
+                        out.append((np.full(len(found), vec[i]), np.full(len(found), digest[i]), found, scores))
         if out:
             yield batch_of(dict(zip(schema.names, map(np.concatenate, zip(*out)))), schema)
 
