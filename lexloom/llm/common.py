@@ -6,8 +6,11 @@ selects the columns it needs by name first, so extra columns (whatever their nam
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +65,33 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "replace").lower()
 
 
-def small_slices(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+#: What operators keep in a worker between tasks, by operator: one operator's at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """The owner's object of this worker process, made at first use."""
+    release(owner)
+    if owner not in _KEPT:
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def release(owner: str = "") -> None:
+    """Drop what other operators keep and give the memory back: workers live on from stage to stage."""
+    others = [k for k in _KEPT if k != owner]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_slices(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Cut batches with a text column so that a slice holds about max_chars at most (one row at least)."""
+    release(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -14,6 +14,7 @@ each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batch_of, small_slices, table, texts_of
+from .common import batch_of, kept, small_slices, table, texts_of
 
 CAPACITY = 4096
 END_ID = 1
 BLOCK = 65_536
 #: Words kept with their ids in a worker; beyond it the cache starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: White space to str.split but not to the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -46,15 +47,45 @@ def _tokenizer(path: str) -> Tokenizer:
     return t
 
 
+#: Latin letters, then ASCII marks but the apostrophe: such a word is one pre-token, or two.
+_PLAIN = re.compile(r"[^\W\d_]+([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Ids of whole texts.  The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         self.tokenizer, self.known, self.end = _tokenizer(path), {}, struct.pack("<I", end_id)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word.  Words whose number of pre-tokens is plain to see are encoded as one text and told apart by it: a pre-token's last id is one with the word-end mark."""
+        plain, counts, other = [], [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w) if max(w) < "\u0250" else None
+            if m:
+                plain.append(w)
+                counts.append(2 if m[1] else 1)
+            else:
+                other.append(w)
+        out = dict(zip(other, self._ids(other)))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum(counts[at : at + 4096])
+            if len(last) != upto[-1]:
+                out |= zip(part, self._ids(part))
+                continue
+            cuts, raw = (last[upto - 1] * 4).tolist(), ids.tobytes()
+            out |= {w: raw[s:e] for w, s, e in zip(part, [0, *cuts], cuts)}
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and the end id."""
         odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD_SPACE)]
@@ -63,7 +94,7 @@ class WordEncoder:
             self.known = {}
         known = self.known
         new = [*set(chain.from_iterable(words)).difference(known)]
-        fresh = dict(zip(new, self._ids(new)))
+        fresh = self._words(new)
         known.update((w, i) for w, i in fresh.items() if len(w) <= 64)
         over = {w: i for w, i in fresh.items() if len(w) > 64}
         get = known.__getitem__ if not over else (lambda w: known[w] if w in known else over[w])
@@ -73,10 +104,12 @@ class WordEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    """One for all tasks of a worker."""
-    return WordEncoder(path)
+    """One for all packing tasks of a worker; other operators' tasks drop it."""
+    found = kept("packing", dict)
+    if path not in found:
+        found[path] = WordEncoder(path)
+    return found[path]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,7 +119,7 @@ _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("star
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path)
     step = 4 * capacity
-    for batch in small_slices(batches):
+    for batch in small_slices(batches, 2_000_000, "packing"):
         rows = []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
             for k, at in enumerate(range(0, len(ids), step)):

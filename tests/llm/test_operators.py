@@ -97,6 +97,14 @@ def check_packing(rows, texts, capacity=4096):
     return len(by_seq)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abzéßİǅΣςe\u0301'`-.,!#_0 9\n\t\x1c\u00a0\u2003日ह़क़", max_size=40))
+def test_word_encoder_equals_the_tokenizer(text):
+    encoder = packing._encoder(WORDS)
+    assert np.frombuffer(encoder.encode([text, text.upper()])[0], "<u4").tolist() == ids_of(text)
+    assert np.frombuffer(encoder.encode([text.upper()])[0], "<u4").tolist() == ids_of(text.upper())
+
+
 def test_packing_whole_table(docs):
     rows = packing.best_fit_packing(docs, WORDS).collect()
     n = check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
