@@ -23,9 +23,8 @@ def media_route(spark: SparkSession, sf: str) -> DataFrame:
 
 def capability_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Every mode, phonetic policy and deployment with the capabilities that follow."""
-    one = lambda name, *xs: spark.createDataFrame([(x,) for x in xs], f"{name} string")
-    # 2 x 3 x 3 literal rows.
-    m = one("mode", "offline", "online").crossJoin(one("policy", "enabled", "disabled", "backend_only")).crossJoin(one("deployment", "local", "backend", "distributed"))
+    rows = [(m, p, d) for m in ("offline", "online") for p in ("enabled", "disabled", "backend_only") for d in ("local", "backend", "distributed")]
+    m = spark.createDataFrame(rows, "mode string, policy string, deployment string").coalesce(1)
     online = F.col("mode") == "online"
     phonetic = online & (F.col("policy") != "disabled") & ((F.col("policy") != "backend_only") | (F.col("deployment") == "backend"))
     return m.withColumn("phonetic_enabled", phonetic).withColumn("db_persistence_enabled", online).withColumn("backend_jobs_enabled", F.lit(False))
@@ -67,7 +66,7 @@ def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
     t = timeline(spark, sf)
     # ASCII classes: the regular expressions of both engines agree on them.
     units = F.regexp_extract_all("text", F.lit(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]"), 0)
-    rows = t.select("doc_id", "sent_idx", "start_ms", "end_ms", F.size(units).alias("n"), F.posexplode(units).alias("k", "unit"))
+    rows = t.select("doc_id", "sent_idx", "start_ms", "end_ms", units.alias("units")).select("doc_id", "sent_idx", "start_ms", "end_ms", F.size("units").alias("n"), F.posexplode("units").alias("k", "unit"))
     step = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1)) / F.col("n")
     kind = F.when(F.col("unit").rlike("^[0-9]+$"), "number").when(F.col("unit").rlike("^[A-Za-z]+$"), "word").otherwise("symbol")
     rows = rows.select("doc_id", "sent_idx", (F.col("k") + 1).alias("id"), kind.alias("kind"), F.round((F.col("start_ms") + F.col("k") * step) / 1000, 3).alias("start"))
