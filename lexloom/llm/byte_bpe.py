@@ -129,14 +129,22 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids array<int>, decoded binary, for every row of docs(doc_id, text)."""
-    from_row = texts_of(docs).withColumn("part", F.monotonically_increasing_id())
-    short = from_row.where(F.length("text") <= chunk).select("doc_id", "part", F.lit(1).alias("k"), "text")
-    keyed = from_row.where(F.length("text") > chunk).select("doc_id", F.col("doc_id").alias("part"), "text")
-    cut = pieces(keyed.select("part", "text"), chunk, overlap)
-    small = short.select("doc_id", "text").mapInArrow(functools.partial(_whole, path=path), "doc_id long, ids binary, decoded binary")
-    large = _joined(cut, path).select(F.col("part").alias("doc_id"), "ids", F.col("raw").alias("decoded"))
-    return small.unionByName(large)
+    """doc_id, ids (little-endian unsigned 32-bit), decoded (bytes) of every row of docs(doc_id, text)."""
+    from_row = texts_of(docs)
+    small = from_row.where(F.length("text") <= chunk).mapInArrow(functools.partial(_whole, path=path), "doc_id long, ids binary, decoded binary")
+    large = _long(from_row.where(F.length("text") > chunk), path, chunk, overlap)
+    return small.unionByName(large.select("doc_id", "ids", F.col("raw").alias("decoded")))
+
+
+def _long(long_docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """doc_id, ids, raw of every long row.
+
+    A row's key is a hash of its id and text, so equal ids don't mix; rows that repeat both are coded once and expanded by their count.
+    """
+    keyed = long_docs.withColumn("part", F.xxhash64("doc_id", "text"))
+    counts = keyed.groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    cut = pieces(keyed.select("part", "text").dropDuplicates(["part"]), chunk, overlap)
+    return _joined(cut, path).join(counts, "part").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "ids", "raw")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -176,29 +184,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: n_tokens and SHA-256 of the ids and of the decoded bytes.
 
-    Short texts are read, encoded and digested where they lie; only texts over ``chunk`` code points are
-    shuffled.  The row key of a long text is doc_id and a hash of the text, so equal ids don't mix; rows
-    that repeat both are one group, expanded again by their count.
+    Short texts are read, encoded and digested where they lie; only texts over ``chunk`` code points are shuffled.
     """
     from_row = texts_of(docs)
     short = from_row.where(F.length("text") <= chunk)
     small = short.mapInArrow(functools.partial(_digest, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    key = F.xxhash64("doc_id", "text")
-    long_docs = from_row.where(F.length("text") > chunk).withColumn("part", key)
-    counts = long_docs.groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    cut = pieces(long_docs.select("part", "text").dropDuplicates(["part"]), chunk, overlap)
-    large = (
-        _joined(cut, path)
-        .join(counts, "part")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(
-            "doc_id",
-            (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-            F.sha2("ids", 256).alias("ids_sha256"),
-            F.sha2("raw", 256).alias("decoded_sha256"),
-        )
+    large = _long(from_row.where(F.length("text") > chunk), path, chunk, overlap)
+    return small.unionByName(
+        large.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
     )
-    return small.unionByName(large)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

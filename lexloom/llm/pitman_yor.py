@@ -83,6 +83,8 @@ def token_keys(text: str) -> np.ndarray:
 _ENCODED = "kind int, block long, dest int, data array<binary>"
 _ENCODED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("dest", pa.int32()), ("data", pa.list_(pa.binary()))])
 TEXTS, ENTRIES = 0, 1
+#: Stands for a null id in packed rows.
+NO_ID = -(1 << 63)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], ranges: int, block_chars: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,7 @@ def _encode(batches: Iterator[pa.RecordBatch], ranges: int, block_chars: int) ->
     for batch in small_slices(batches):
         for doc, learn, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "text"))):
             keys.append(token_keys(text))
-            ids.append(-1 if doc is None else doc)
+            ids.append(NO_ID if doc is None else doc)
             train.append(bool(learn))
             chars += len(text) + 1
             if chars >= block_chars:
@@ -320,7 +322,7 @@ def _score(batches: Iterator[pa.RecordBatch], last: Totals) -> Iterator[pa.Recor
             sum_of = lambda x: np.add.reduceat(x[index], starts)
             base = np.log10((c + 0.1) / (last.tokens + 0.1 * (last.words + 1)))
             out = {
-                "doc_id": pa.array(ids, mask=ids == -1), "held_out": ~train, "n_tokens": n.astype(np.int64), "n_known": sum_of((c > 0).astype(np.int64)),
+                "doc_id": pa.array(ids, mask=ids == NO_ID), "held_out": ~train, "n_tokens": n.astype(np.int64), "n_known": sum_of((c > 0).astype(np.int64)),
                 "train_tokens": np.full(len(ids), last.tokens, np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p.astype(np.float64))),
             }
             for at in range(0, len(ids), 8192):

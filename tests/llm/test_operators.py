@@ -72,6 +72,14 @@ def test_safe_cuts_split_no_pretoken(text):
         assert enc.encode_ordinary(text[:cut]) + enc.encode_ordinary(text[cut:]) == enc.encode_ordinary(text)
 
 
+def test_bpe_long_rows_that_share_an_id(spark):
+    rows = [(1, LONG), (1, LONG), (1, LONG[5:]), (-1, "short"), (None, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(bytes(r["ids"]) for r in byte_bpe.encode(docs, RANKS, 700, 40).collect())
+    assert got == sorted(whole(t) for _, t in rows)
+    assert sorted(r["n_tokens"] for r in byte_bpe.digests(docs, RANKS, 700, 40).collect()) == sorted(len(whole(t)) // 4 for _, t in rows)
+
+
 # --- 1: packing
 
 
