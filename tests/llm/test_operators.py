@@ -215,6 +215,34 @@ def test_similar_documents_find_copies(spark):
     assert all(got[100 + i] == i for i in range(20)) and all(got[i] == i for i in range(40))
 
 
+def test_similar_documents_equal_brute_force_around_the_bound(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(60):
+        n = int(rng.choice([9, 14, 30, 120, 400]))
+        base = [f"g{g}w{rng.integers(10**6)}" for _ in range(n)]
+        if g % 4 == 0:  # a repetitive text
+            base = base[: n // 2] + base[:6] * 8
+        rows.append(base)
+        for _ in range(3):
+            near = list(base)
+            for p in rng.integers(0, len(near), max(1, round(len(near) * float(rng.choice([0.01, 0.02, 0.025, 0.03, 0.05]))))):
+                near[p] = f"x{rng.integers(10**6)}"
+            rows.append(near if rng.random() < 0.5 else near + [f"y{i}" for i in range(len(near) // 20)])
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(rows)), 2)}
+    assert sum(0.7 <= x < 0.8 for x in jaccard.values()) > 20 < sum(0.8 <= x < 0.9 for x in jaccard.values())
+    root = list(range(len(rows)))
+    for (i, j), x in jaccard.items():
+        if x >= 0.8 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    for shard_rows in (16_384, 2):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, shard_rows=shard_rows).collect()}
+        assert [got[i] for i in range(len(rows))] == root
+
+
 def test_stars_join_chains(spark):
     edges = [(i + 1, i) for i in range(40)] + [(101, 100)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
