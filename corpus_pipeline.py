@@ -35,11 +35,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles have a similarity of 0.8 or more one of each group stays, the one of the smallest id (and one of the rows that repeat its id); rows without an id all stay."""
-    groups = simhash.similar_documents(docs.where("doc_id is not null").select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of documents whose five-word shingles have a similarity of 0.8 or more one row of each group stays, one of the smallest id; rows without an id take part and stay if their group has no other.  Rows are told apart by id and text."""
+    kept = simhash.representatives(docs.select("doc_id", "text"))
+    rows = docs.withColumn("_row", simhash.row_key()).join(kept.withColumnRenamed("row", "_row"), "_row")
+    # Rows of the same id and text: the first in the order of all columns, whatever the run.
+    return rows.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("_first")).select("_first.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -418,6 +418,12 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE_NEAR, similarity: flo
     return _labelled(prints, rooted.withColumn("least", F.col("least.doc_id")))
 
 
+def representatives(docs: DataFrame, size: int = SHINGLE_NEAR, similarity: float = SIMILARITY, words: int = WORDS_NEAR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """row (see row_key) of one row of each component of similar texts: the smallest doc_id's, a null id's if there is no other."""
+    _, rooted = _similar(docs, size, similarity, words, shard_rows)
+    return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")

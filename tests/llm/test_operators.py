@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexloom.llm import ann, byte_bpe, chat, chunking, langid, packing, pitman_yor, secret_scan, simhash, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -243,6 +244,17 @@ def test_similar_documents_equal_brute_force_around_the_bound(spark):
         assert [got[i] for i in range(len(rows))] == root
 
 
+def test_near_duplicate_stage_keeps_texts_that_share_an_id(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(0, text(k), "en", "s", 1) for k in range(12)]
+    rows += [(0, text(3), "en", "s", 1), (0, text(3), "de", "s", 1), (7, text(5), "en", "s", 1), (-1, text(6), "en", "s", 1)]
+    rows += [(None, text(20), "en", "s", 1), (None, text(20), "en", "s", 1), (None, text(1), "en", "s", 1), (None, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    want = [(-1 if k == 6 else 0, text(k), "de" if k == 3 else "en") for k in range(12)] + [(None, text(20), "en"), (9, "", "en")]
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_stars_join_chains(spark):
     edges = [(i + 1, i) for i in range(40)] + [(101, 100)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
