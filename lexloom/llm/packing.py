@@ -2,10 +2,10 @@
 
 Documents are tokenised where they lie; only (doc_id, piece, length) rows are dealt over the cluster.
 A task packs blocks of up to ``block`` pieces: best fit decreasing gives the first bins, then the search
-improves bins that are not full.  It fills a target bin from emptier ones by moving a document, by
+improves bins that are not full.  It fills a target bin from any other one by moving a document, by
 exchanging one for one, or two for one, always the step that leaves the least room; every step raises
-the sum of squared fills.  Emptied bins go; bins that are still far from full are carried into the next
-block, so a task wastes less than a sequence or two whatever it reads.
+the sum of squared fills, and the search ends when no step does.  Emptied bins go; bins that are not full
+are carried into the next block, the emptiest first and at most ``block`` pieces, so a task's memory is bounded.
 
 Defined cases: null text counts as empty (its piece is the end id alone); repeated rows are packed once
 each; an empty table gives no rows; extra columns are ignored.
@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -156,18 +157,43 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills."""
+    """Moves and exchanges between underfull bins that raise the sum of squared fills, until none does.
+
+    An index has, for each size and each sum of two sizes of a bin, the underfull bins that have it by fill.
+    """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins = {b: list(x) for b, x in enumerate(bins)}
         self.fill = {b: sum(sizes[i] for i in x) for b, x in self.bins.items()}
-        self.order = sorted((self.fill[b], b) for b in self.bins if self.fill[b] < capacity)
+        # Of one document and of two: the bins by (fill, bin) at each sum, and the sums that some bin has as bits.
+        self.having: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
+        self.present = [0, 0]
+        for b in self.bins:
+            self._enter(b)
+
+    def _sums(self, b: int) -> tuple[set[int], set[int]]:
+        counts = Counter(self.sizes[i] for i in self.bins[b])
+        ones = sorted(counts)
+        twos = {x + y for k, x in enumerate(ones) for y in ones[k + 1 :]} | {2 * x for x, n in counts.items() if n > 1}
+        return set(ones), twos
+
+    def _enter(self, b: int) -> None:
+        if self.fill[b] >= self.capacity:
+            return
+        for k, sums in enumerate(self._sums(b)):
+            for x in sums:
+                insort(self.having[k].setdefault(x, []), (self.fill[b], b))
+                self.present[k] |= 1 << x
 
     def _leave(self, b: int) -> None:
-        at = bisect_left(self.order, (self.fill[b], b))
-        if at < len(self.order) and self.order[at] == (self.fill[b], b):
-            del self.order[at]
+        for k, sums in enumerate(self._sums(b)):
+            for x in sums:
+                held = self.having[k][x]
+                del held[bisect_left(held, (self.fill[b], b))]
+                if not held:
+                    del self.having[k][x]
+                    self.present[k] &= ~(1 << x)
 
     def _exchange(self, into: int, out_of: int, give: list[int], take: list[int]) -> None:
         for b in (into, out_of):
@@ -182,66 +208,55 @@ class LocalSearch:
         self.fill[into] += d
         self.fill[out_of] -= d
         for b in (into, out_of):
-            if not self.bins[b]:
+            if self.bins[b]:
+                self._enter(b)
+            else:
                 del self.bins[b], self.fill[b]
-            elif self.fill[b] < self.capacity:
-                insort(self.order, (self.fill[b], b))
-
-    def _step(self, into: int, out_of: int) -> bool:
-        """The step from out_of to into (the fuller one) that gains most, if any gains."""
-        sizes, room = self.sizes, self.capacity - self.fill[into]
-        theirs = sorted((sizes[i], i) for i in self.bins[out_of])
-        mine = sorted((sizes[i], i) for i in self.bins[into])
-        best = (0, [], [])
-
-        def at_most(rows: list[tuple[int, int]], limit: int) -> tuple[int, int] | None:
-            k = bisect_left(rows, (limit + 1, -1))
-            return rows[k - 1] if k else None
-
-        if x := at_most(theirs, room):
-            best = (x[0], [], [x[1]])
-        for s, i in mine:
-            if best[0] == room:
-                break
-            if (x := at_most(theirs, s + room)) and x[0] - s > best[0]:  # one for one
-                best = (x[0] - s, [i], [x[1]])
-            for k, (s1, i1) in enumerate(theirs):  # two of theirs for one of mine
-                if s1 > s + room:
+
+    def _chosen(self, b: int, total: int, n: int) -> list[int]:
+        """n documents of the bin whose sizes add up to total."""
+        of: dict[int, int] = {}
+        for i in self.bins[b]:
+            x = self.sizes[i]
+            if n == 1 and x == total:
+                return [i]
+            if n == 2 and total - x in of:
+                return [of[total - x], i]
+            of.setdefault(x, i)
+        return []
+
+    def _step(self, into: int) -> bool:
+        """The step that fills `into` most, if any raises the sum of squares; of its givers the emptiest."""
+        fill, room = self.fill[into], self.capacity - self.fill[into]
+        ones, twos = self._sums(into)
+        best = (0, 0, 0, 0, 0)
+        for n_give, sums, takes in ((0, (0,), (1,)), (1, ones, (1, 2)), (2, twos, (1,))):
+            for give in sums:
+                for n_take in takes:
+                    found = self.present[n_take - 1] >> (give + 1) & (1 << room) - 1
+                    # Gains above the best so far, largest first.
+                    while (gain := found.bit_length()) > best[0]:
+                        held = self.having[n_take - 1][give + gain]
+                        out = held[0] if held[0][1] != into else held[1] if len(held) > 1 else None
+                        if out and out[0] < fill + gain:
+                            best = (gain, out[1], n_give, give, n_take)
+                        found ^= 1 << (gain - 1)
+                if best[0] == room:
                     break
-                if (x := at_most(theirs[:k], s + room - s1)) and s1 + x[0] - s > best[0]:
-                    best = (s1 + x[0] - s, [i], [i1, x[1]])
-        for s1, i1 in theirs:  # one of theirs for two of mine
-            if best[0] == room:
-                break
-            lo, hi = 0, len(mine) - 1
-            while lo < hi:
-                gain = s1 - mine[lo][0] - mine[hi][0]
-                if gain > room:
-                    lo += 1
-                else:
-                    if gain > best[0]:
-                        best = (gain, [mine[lo][1], mine[hi][1]], [i1])
-                    hi -= 1
-        if best[0] <= 0:
+        gain, out_of, n_give, give, n_take = best
+        if not gain:
             return False
-        self._exchange(into, out_of, best[1], best[2])
+        self._exchange(into, out_of, self._chosen(into, give, n_give) if n_give else [], self._chosen(out_of, give + gain, n_take))
         return True
 
-    def run(self, rounds: int = 4, donors: int = 8) -> list[list[int]]:
-        """The emptiest bin gives to each fuller one in turn until it is empty or nothing gains; `donors` bins are tried in each round."""
-        for _ in range(rounds):
+    def run(self) -> list[list[int]]:
+        """Each underfull bin, the emptiest first, takes from others as long as it gains; again until no bin does."""
+        changed = True
+        while changed:
             changed = False
-            for rank in range(donors):
-                if rank >= len(self.order) - 1:
-                    break
-                out_of = self.order[rank][1]
-                for _, into in self.order[:rank:-1]:
-                    if out_of not in self.bins or into not in self.bins:
-                        break
-                    if into != out_of and self.fill[out_of] <= self.fill[into] < self.capacity:
-                        changed |= self._step(into, out_of)
-            if not changed:
-                break
+            for _, b in sorted((f, b) for b, f in self.fill.items() if f < self.capacity):
+                while b in self.fill and self.fill[b] < self.capacity and self._step(b):
+                    changed = True
         return list(self.bins.values())
 
 
@@ -266,8 +281,9 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], capacity: int, block: int
         nonlocal n_bins
         sizes = rows.column("length").to_pylist()
         seq, offset, keep = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64), []
-        for b in pack(sizes, capacity):
-            if not last and sum(sizes[i] for i in b) < 0.9 * capacity:
+        bins = sorted(((sum(sizes[i] for i in b), b) for b in pack(sizes, capacity)), key=lambda x: x[0])
+        for fill, b in bins:
+            if not last and fill < capacity and len(keep) + len(b) <= block:
                 keep += b
                 continue
             at = 0
@@ -289,7 +305,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], capacity: int, block: int
         count += batch.num_rows
         if count >= block:
             out, held = packed(pa.concat_tables(waiting), False)
-            waiting, count = ([held] if held else []), (held.num_rows if held else 0)
+            waiting, count = ([held] if held else []), 0
             if out:
                 yield out
     if waiting:

@@ -140,6 +140,15 @@ def test_search_raises_squared_fill():
     assert fill(better) > fill(bins) and len(better) == 3 and sorted(itertools.chain(*better)) == list(range(8))
 
 
+def test_search_goes_on_until_nothing_gains():
+    sizes = np.random.default_rng(0).integers(900, 1501, 3_000).tolist()
+    first = packing.best_fit_decreasing(sizes, 4096)
+    bins = packing.LocalSearch(sizes, first, 4096).run()
+    assert sorted(itertools.chain(*bins)) == list(range(3_000)) and all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+    bound = math.ceil(sum(sizes) / 4096)
+    assert len(bins) - bound <= 0.5 * (len(first) - bound)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_pack_keeps_all(sizes):
