@@ -2,7 +2,7 @@
 
 The patterns (assignments, access keys, long hex) give the base findings.  Every other run of secret-like
 characters that holds a digit and a letter is a candidate: the network, in plain numpy, sees its
-characters and the context on either side, and adds those whose calibrated probability reaches the
+characters and the context on either side (of a long run, in windows that overlap), and adds those whose calibrated probability reaches the
 threshold.  The network learns from labelled findings that a seeded generator writes (credentials of many
 forms, and card numbers, addresses, versions, dates and words as harmless ones); its output is calibrated
 on a part that was held back, and its threshold is the highest that keeps the recall asked for there.
@@ -18,6 +18,7 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ KINDS = ("assign", "access", "hex", "network")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16
+_PART = re.compile(r"[A-Za-z0-9+_.-]{16,}")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 BEFORE, INSIDE, AFTER = 24, 48, 8
 REACH = 5
@@ -55,14 +58,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Every other run of 16 or more secret-like characters with a digit and a letter."""
+    """Every other run of 16 or more secret-like characters with a digit and a letter; of a run that base findings touch, the parts that they leave."""
     if not _DIGIT.search(text):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if _DIGIT.search(run) and _LETTER.search(run) and not any(s < m.end() and m.start() < e for _, s, e in base):
-            out.append((m.start(), m.end()))
+        at, parts = m.start(), []
+        for _, s, e in base:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = e
+        for s, e in [*parts, (at, m.end())]:
+            if e - s >= LEAST and _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
+                out.append((s, e))
+    return out
+
+
+def looks(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What the network sees of a candidate: all of it; of one longer than INSIDE also overlapping windows, and its parts between slashes or equals signs."""
+    out = [(start, end)]
+    if end - start > INSIDE:
+        out += [(s, s + INSIDE) for s in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
+        for m in _PART.finditer(text, start, end):
+            if m.end() - m.start() < end - start and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+                out.append(m.span())
     return out
 
 
@@ -205,6 +224,8 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: "...".join(word(1, 3) for _ in range(4)) + pick(dig, 1),
         lambda: ".".join(pick(dig, 3) for _ in range(5)) + any_of(("a", "b", "km")),
         lambda: "_".join(word(1, 3) for _ in range(4)) + "_" + pick(dig, 2),
+        lambda: "/".join(word(1, 3) for _ in range(int(rng.integers(8, 16)))) + f"/20{pick(dig, 2)}/{word(1, 3)}-{word(1, 3)}-{pick(dig, 2)}.html",
+        lambda: "//" + word(2, 4) + ".org/" + "/".join(word(1, 3) + any_of(("", "", "-" + word(1, 3), "_" + pick(dig, 2))) for _ in range(int(rng.integers(6, 12)))),
     )
     leads = ("key: ", "Authorization: Bearer ", "credential=", "auth ", "client ", 'pwd="', "private ", "use ", "", "", "", "")
     rows, y = [], np.zeros(n)
@@ -225,7 +246,9 @@ def trained(n: int = 3_000, recall: float = RECALL) -> Network:
     rows, y = labelled_findings(n, seed=1)
     x = np.array([window(*r) for r in rows])
     network, cut = Network(), n * 3 // 4
-    network.train(x[:cut], y[:cut])
+    # Of long harmless runs every look is harmless.
+    more = np.array([window(r[0], *v) for r, secret in zip(rows[:cut], y[:cut]) if not secret for v in looks(*r)[1:]])
+    network.train(np.concatenate([x[:cut], more]), np.concatenate([y[:cut], np.zeros(len(more))]))
     network.calibrate(x[cut:], y[cut:], recall)
     return network
 
@@ -237,8 +260,12 @@ def scan(texts: list[str], network: Network) -> list[tuple[list[Span], list[Span
     every = [list(b) for b in base]
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
-        p = network.probability(np.array([window(texts[i], s, e) for i, s, e in part]))
-        for (i, s, e), yes in zip(part, p >= max(network.threshold, 1e-9)):
+        seen = [looks(texts[i], s, e) for i, s, e in part]
+        first = np.cumsum([0, *map(len, seen)])[:-1]
+        # Windows of very long runs are many: no more than some thousand are held at a time.
+        views = ((texts[i], s, e) for (i, _, _), x in zip(part, seen) for s, e in x)
+        p = np.concatenate([network.probability(np.array([window(*v) for v in some])) for some in batched(views, 4096)])
+        for (i, s, e), yes in zip(part, np.maximum.reduceat(p, first) >= max(network.threshold, 1e-9)):
             if yes:
                 every[i].append(("network", s, e))
     return [(b, sorted(x, key=lambda s: (s[1], KINDS.index(s[0])))) for b, x in zip(base, every)]

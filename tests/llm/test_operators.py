@@ -299,6 +299,20 @@ def test_secret_network_on_unseen_findings():
     assert found[y == 1].mean() >= 0.95 and found[y == 0].mean() <= 0.05
 
 
+def test_secrets_inside_long_runs_and_beside_base_findings():
+    rng = np.random.default_rng(4)
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    network, hit = secret_scan.trained(), []
+    for k in range(40):
+        inner = ("ghp_" + key(36), "sk_live_" + key(30), key(40))[k % 3]
+        hit.append((f"see https://downloads.host.example/team/project/{inner}/releases/latest/the-file-of-it.tar.gz for it", inner))
+        other = key(40)
+        hit.append((f"use AKIA{'Q7' * 8}/{other} now", other))
+        hit.append((f"use {other}.{'0af3' * 8} now", other))
+    found = [secret not in secret_scan.redact(t, every) for (t, secret), (_, every) in zip(hit, secret_scan.scan([t for t, _ in hit], network))]
+    assert np.reshape(found, (-1, 3)).mean(axis=0).min() >= 0.9
+
+
 def test_redaction_and_odd_input(odd, empty, spark):
     network = secret_scan.trained()
     assert secret_scan.find_secrets(odd, network).count() == len(ODD) and secret_scan.find_secrets(empty, network).count() == 0
