@@ -51,8 +51,8 @@ def family_of(lang: str) -> str:
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Lower-cased letter of each code point below 0x30000, 0 for what is not a letter."""
-    out = np.zeros(0x30000, np.uint32)
+    """Lower-cased letter of each code point, 0 for what is not a letter."""
+    out = np.zeros(0x110000, np.uint32)
     for c in range(len(out)):
         x = chr(c)
         if x.isalpha():
@@ -64,7 +64,7 @@ def _letters() -> np.ndarray:
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased letters of the texts, 0 elsewhere, each text between a 0 of its own on either side; and where the first of these is."""
     code = np.frombuffer(("\0" + "\0\0".join(texts) + "\0\0\0").encode("utf-32-le", "replace"), np.uint32)
-    lower = _letters()[np.minimum(code, 0x2FFFF)]
+    lower = _letters()[code]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     return lower, np.cumsum(lengths) - lengths
 

@@ -116,7 +116,7 @@ class Automaton:
             table.append(row)
         self.table = np.array(table, np.int32)
         self.kind, self.weight = np.array(kinds, np.int8), np.array(weights, np.float32)
-        self.symbol = np.zeros(0x30000, np.int32)
+        self.symbol = np.zeros(0x110000, np.int32)
         for c, k in self.alphabet.items():
             self.symbol[ord(c)] = k
         # A stem is found when its last letter is read, whatever follows; no listed word goes on from it.
@@ -126,7 +126,7 @@ class Automaton:
         """Starts, kinds and weights of the words of `lower` (letters, 0 elsewhere, 0 at both ends) that the automaton accepts."""
         is_letter = lower != 0
         starts = np.flatnonzero(is_letter[1:] & ~is_letter[:-1]) + 1
-        symbol = self.symbol[np.minimum(lower, 0x2FFFF)]
+        symbol = self.symbol[lower]
         state = np.ones(len(starts), np.int32)
         word, at = np.arange(len(starts)), starts.copy()
         found, kind, weight = [], [], []

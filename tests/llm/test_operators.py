@@ -337,6 +337,13 @@ def test_language_odd_input(odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, none, F.lit(False)).collect()} == {"und"} and langid.identify(empty, none, F.lit(False)).count() == 0
 
 
+def test_letters_beyond_the_second_plane(odd):
+    text = chr(0x30000) * 3 + " " + chr(0x31350) * 2
+    assert langid.letters([text])[0].tolist() == [0, *map(ord, text.replace(" ", "\0")), 0, 0, 0]
+    assert langid.learn(odd, F.lit(True)).predict([text])[0] != [langid.UND]
+    assert toxicity.Lexicon({chr(0x30000) * 3: 5.0}, {}).features([text])[0, 0] > 0
+
+
 def test_language_ignores_neighbours(docs):
     model = langid.learn(docs, F.lit(True))
     texts = [r["text"] for r in docs.limit(30).collect()]
