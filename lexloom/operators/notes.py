@@ -209,23 +209,22 @@ def fallback_notes(spark: SparkSession, sf: str) -> DataFrame:
     return described(spark, sf).select("seq", "preorder", F.sha2(fallback_note(), 256).alias("note_sha256"))
 
 
-def valid_note(note: Column) -> Column:
-    s = T.squeeze(note)
-    words = T.tokens(s)
-    noise = F.size(F.filter(words, lambda w: w.isin(*NOISE_WORDS))) / F.greatest(F.size(words), F.lit(1))
-    return (s != "") & ~T.any_match(s, BAD_LEAD) & (F.length(s) >= 12) & (F.size(words) >= 6) & ~T.any_match(s, BAD_NOTE) & (noise <= 0.30) & ~T.any_match(s, GENERIC_NOTE)
-
-
-def note_kind(note: Column) -> Column:
-    low = F.lower(T.squeeze(note))
-    has = lambda *xs: low.rlike("|".join(xs))
-    return F.when(has("tense", "aspect", "voice", "mood", "verb form", "plural", "singular"), "morphological").when(has("subject", "predicate", "object", "clause", "phrase", "sentence", "agreement"), "syntactic").when(has("topic", "context", "cohesion", "register", "emphasis"), "discourse").otherwise("semantic")
+def with_validity(df: DataFrame, note: str) -> DataFrame:
+    """df with `valid` and `kind` of a note column; its squeezed text and words are worked out once, each list is one pattern."""
+    df = df.withColumn("_s", T.squeeze(note))
+    df = df.withColumn("_words", T.tokens("_s")).withColumn("_low", F.lower("_s"))
+    noise = F.size(F.filter("_words", lambda w: w.isin(*NOISE_WORDS))) / F.greatest(F.size("_words"), F.lit(1))
+    ok = (F.length("_s") >= 12) & (F.size("_words") >= 6) & (noise <= 0.30) & ~T.any_match("_s", BAD_LEAD) & ~T.any_match("_s", BAD_NOTE) & ~T.any_match("_s", GENERIC_NOTE)
+    has = lambda *xs: F.col("_low").rlike("|".join(xs))
+    kind = F.when(has("tense", "aspect", "voice", "mood", "verb form", "plural", "singular"), "morphological").when(has("subject", "predicate", "object", "clause", "phrase", "sentence", "agreement"), "syntactic").when(has("topic", "context", "cohesion", "register", "emphasis"), "discourse").otherwise("semantic")
+    return df.withColumn("valid", ok).withColumn("kind", kind).drop("_s", "_words", "_low")
 
 
 def note_validity(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.sentences(spark, sf).select("text").union(V.read(spark, sf, "benchmark").select("text"))
-    s = s.union(described(spark, sf).select(fallback_note()))
-    return s.groupBy(valid_note(F.col("text")).alias("valid"), note_kind(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Notes that are valid, by kind.  Rule-made notes repeat: equal ones are counted before they are judged."""
+    s = V.sentences(spark, sf).select("text").union(V.read(spark, sf, "benchmark").select("text")).withColumn("n", F.lit(1).cast("long"))
+    made = described(spark, sf).groupBy(fallback_note().alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return with_validity(s.union(made), "text").groupBy("valid", "kind").agg(F.sum("n").alias("n"))
 
 
 def note_novelty_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +233,7 @@ def note_novelty_fold(spark: SparkSession, sf: str) -> DataFrame:
     The order matters, so each sentence's notes fold in one array expression; no state leaves the sentence.
     """
     n = described(spark, sf).select("seq", "preorder", "type", fallback_note().alias("note"))
-    n = n.withColumn("ok", valid_note(F.col("note")))
+    n = with_validity(n, "note").withColumnRenamed("valid", "ok")
     ordered = n.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("preorder", "type", "note", "ok"))).alias("xs"))
     zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("accepted"), F.lit(0).alias("repeated"))
     fold = F.aggregate(
