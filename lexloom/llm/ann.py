@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by collision counting (query-aware hashing).
 
-The rows are dealt over index shards.  A shard keeps, for each of ``projections`` random directions, its
-rows' projections in a sorted array.  A query opens a window around its own projection in each array; a
-row in the window collides with it.  Virtual rehashing widens all windows by one factor until enough rows
-have collided in at least ``threshold`` of the arrays; these are verified by their exact inner products.
-Largest inner product becomes smallest distance by one more coordinate that lifts all rows to one norm.
-Each shard's best come together by query; every row is indexed, every query meets every shard.
+The rows are dealt over index shards.  A shard keeps, for each of several random directions, its rows in the
+order of their projections: one sorted array for each.  A query opens a window around its own projection in
+each array; a row in the window collides with it.  Virtual rehashing widens all windows by one width after
+the other.  Only the places that a widening adds are read: their rows collide from then on, and a row's
+count is its collisions in all arrays at all widths so far.  Rows whose count reaches the threshold, a share
+of the collisions possible so far, are candidates; once there are enough of them the highest counts are verified by their
+exact inner products.  Directions come in orthonormal bases, so that one basis already sees all of a
+difference.  Largest inner product becomes smallest distance by one more coordinate that lifts all rows to
+one norm.  Each shard's best come together by query; every row is indexed, every query meets every shard
+(a stated query set against all rows, in blocks).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null id, take no part; vectors of different lengths never meet; a query's own id is no candidate; rows
@@ -28,75 +32,74 @@ from pyspark.sql import window as W
 from .common import batch_of, partitions, table
 
 NEIGHBOURS = 20
-PROJECTIONS = 112
-#: Share of the arrays in which a candidate collides.
-THRESHOLD = 0.44
-#: Verified share of a shard (at least); the windows widen until as many rows have reached the threshold.
-VERIFIED = 0.15
-GROWTH = 1.1
+#: Orthonormal bases of directions.
+BASES = 1
+#: Share of the collisions possible so far that makes a candidate.
+THRESHOLD = 0.65
+#: The windows widen until k times the one and the other's share of a shard's rows are candidates; as many are verified.
+VERIFIED_TIMES, VERIFIED_SHARE = 10, 0.02
+#: Half a window's first width, and what each widening adds, as a share of the rows' norm.
+WIDTH = 0.3
 SHARD_ROWS = 65_535
 LEAST_SHARD = 16_384
-#: Queries whose windows are widened together.
-QUERY_BLOCK = 64
+#: Queries whose windows are found together.
+QUERY_BLOCK = 32
 
 
 class Shard:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 3):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bases: int = BASES, seed: int = 3):
         self.ids, self.vectors = ids, vectors
         norms = np.linalg.norm(vectors, axis=1)
         self.norm = float(norms.max())
         lift = np.sqrt(np.maximum(0, self.norm**2 - norms**2))
-        self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, projections))
+        rng, dim = np.random.default_rng(seed), vectors.shape[1] + 1
+        self.directions = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] * dim**0.5 for _ in range(bases)], axis=1)
         lines = np.c_[vectors, lift] @ self.directions
         order = np.argsort(lines, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(lines, order, 0).T)
-        # Each row's place in each sorted array: a window there is a range of places.
-        place = np.empty(lines.T.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        np.put_along_axis(place, order.T, np.arange(len(ids), dtype=place.dtype)[None], 1)
-        self.place = place
-        # Space for a query's counting and verification, used again by each.
-        self.moved, self.inside = np.empty_like(place), np.empty(place.shape, bool)
-        self.rows = np.empty_like(vectors)
-        self.start = 0.2 * self.norm
-
-    def candidates(self, queries: np.ndarray, wanted: int, threshold: int) -> Iterator[np.ndarray]:
-        """Of each query the rows that collide with it in `threshold` arrays, once there are `wanted` of them.
-
-        Windows of all queries are found together, array by array; a query's rows are counted over all arrays at once.
-        """
-        n, m = len(self.ids), len(self.values)
-        if wanted >= n:
-            yield from (np.arange(n) for _ in queries)
-            return
+        self.order = np.ascontiguousarray(order.T.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32))
+        self.verified = 0
+
+    def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
+        """Of each query the rows whose collisions reach the threshold, highest counts first, at the first width where there are `wanted` of them, or where the windows hold all rows."""
+        n, m = len(self.ids), len(self.order)
         centre = (queries * (self.norm / np.linalg.norm(queries, axis=1))[:, None]) @ self.directions[:-1]
         found: list[np.ndarray | None] = [None] * len(queries)
-        half, last = self.start, np.zeros(len(queries))
-        open_ = np.arange(len(queries))
-        kind = self.place.dtype
+        middle = np.stack([np.searchsorted(self.values[j], centre[:, j]) for j in range(m)], axis=1)
+        lo, hi = middle, middle.copy()
+        inside = np.zeros((len(queries), n), np.uint16 if m < 1 << 16 else np.uint32)
+        counts = np.zeros((len(queries), n), np.uint32)
+        open_, step = np.arange(len(queries)), 0
         while len(open_):
-            lo = np.stack([np.searchsorted(self.values[j], centre[open_, j] - half) for j in range(m)], axis=1)
-            hi = np.stack([np.searchsorted(self.values[j], centre[open_, j] + half, side="right") for j in range(m)], axis=1)
-            everything = (lo == 0).all(axis=1) & (hi == n).all(axis=1)
-            for q, a, b, whole in zip(open_, lo.astype(kind), (hi - lo).astype(kind), everything):
-                # Places below the window wrap round to large numbers.
-                np.subtract(self.place, a[:, None], out=self.moved)
-                np.less(self.moved, b[:, None], out=self.inside)
-                hits = np.flatnonzero(self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if m < 256 else np.uint32) >= threshold)
+            step += 1
+            half = step * WIDTH * self.norm
+            new_lo = np.stack([np.searchsorted(self.values[j], centre[open_, j] - half) for j in range(m)], axis=1)
+            new_hi = np.stack([np.searchsorted(self.values[j], centre[open_, j] + half, side="right") for j in range(m)], axis=1)
+            everything = (new_lo == 0).all(axis=1) & (new_hi == n).all(axis=1)
+            for q, below, above, whole in zip(open_.tolist(), new_lo.tolist(), new_hi.tolist(), everything):
+                # What entered the windows: a stretch below and one above in each array.
+                entered = [self.order[j, a:b] for j, (a, b) in enumerate(zip(below, lo[q].tolist()))]
+                entered += [self.order[j, a:b] for j, (a, b) in enumerate(zip(hi[q].tolist(), above))]
+                inside[q] += np.bincount(np.concatenate(entered), minlength=n).astype(inside.dtype)
+                counts[q] += inside[q]
+                hits = np.arange(n) if whole else np.flatnonzero(counts[q] >= math.ceil(THRESHOLD * m * step))
+                if len(hits) > wanted:
+                    # The highest counts first; rows that tie with the last of them are verified too.
+                    count = counts[q, hits]
+                    hits = hits[count >= np.partition(count, len(hits) - wanted)[len(hits) - wanted]]
                 if len(hits) >= wanted or whole:
-                    found[q], last[q] = hits, half
+                    found[q] = hits
+            lo[open_], hi[open_] = new_lo, new_hi
             open_ = np.array([q for q in open_ if found[q] is None], np.int64)
-            half *= GROWTH
-        # The next queries start where the easiest of these ended, or a step earlier.
-        self.start = max(self.start, float(last.min()) / GROWTH)
         yield from found
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids and exact scores of the k best verified candidates of each query."""
-        wanted = 10 * k + math.ceil(VERIFIED * len(self.ids))
-        for query_id, query, rows in zip(query_ids, queries, self.candidates(queries, wanted, math.ceil(THRESHOLD * len(self.values)))):
+        wanted = VERIFIED_TIMES * k + math.ceil(VERIFIED_SHARE * len(self.ids))
+        for query_id, query, rows in zip(query_ids, queries, self.candidates(queries, wanted)):
             rows = rows[self.ids[rows] != query_id]
-            picked = np.take(self.vectors, rows, axis=0, out=self.rows[: len(rows)], mode="clip")
-            scores = np.multiply(picked, query, out=picked).sum(axis=1)
+            self.verified += len(rows)
+            scores = (self.vectors[rows] * query).sum(axis=1)
             if len(rows) > k:
                 on = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 rows, scores = rows[on], scores[on]
@@ -104,7 +107,7 @@ class Shard:
             yield self.ids[rows][best], scores[best]
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int, bases: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, dim, is_query, id, vector): a shard's rows come before its queries."""
     schema = pa.schema([("query_id", pa.int64()), ("query_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     now, ids, vectors, index = None, [], [], None
@@ -126,7 +129,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iter
                 vectors.append(rows)
                 continue
             if index is None and ids:
-                index = Shard(np.concatenate(ids), np.concatenate(vectors), projections)
+                index = Shard(np.concatenate(ids), np.concatenate(vectors), bases)
             if index is not None:
                 for at in range(a, b, QUERY_BLOCK):
                     upto = min(b, at + QUERY_BLOCK)
@@ -136,7 +139,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iter
             yield batch_of(dict(zip(schema.names, map(np.concatenate, zip(*out)))), schema)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, projections: int = PROJECTIONS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, bases: int = BASES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of each row of vectors(vec_id, embedding) where the condition `is_query` holds."""
     spark = vectors.sparkSession
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -153,7 +156,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, projections: int
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), dim, F.lit(True).alias("is_query"), "vec_id", F.xxhash64("vector").alias("query_hash"), "vector"
     )
     dealt = rows.unionByName(asked).repartition(max(partitions(spark), shards), "shard", "dim").sortWithinPartitions("shard", "dim", "is_query", "vec_id", "query_hash")
-    found = dealt.mapInArrow(functools.partial(_search, k=k, projections=projections), "query_id long, query_hash long, vec_id long, score double")
+    found = dealt.mapInArrow(functools.partial(_search, k=k, bases=bases), "query_id long, query_hash long, vec_id long, score double")
     by_query = W.Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
