@@ -1,11 +1,14 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate.
-
-The patterns (assignments, access keys, long hex) give the base findings.  Every other run of secret-like
-characters that holds a digit and a letter is a candidate: the network, in plain numpy, sees its
-characters and the context on either side (of a long run, in windows that overlap), and adds those whose calibrated probability reaches the
-threshold.  The network learns from labelled findings that a seeded generator writes (credentials of many
-forms, and card numbers, addresses, versions, dates and words as harmless ones); its output is calibrated
-on a part that was held back, and its threshold is the highest that keeps the recall asked for there.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate.
+
+The patterns (assignments, access keys, long hex) give the base findings.  Every run of 16 or more
+secret-like characters is a candidate, and so is every base finding: the network, in plain numpy, sees its
+characters and the context on either side (of a long run, in windows that overlap).  Of a run that base
+findings touch, the parts that they leave are candidates of their own.  Candidates whose calibrated
+probability reaches the threshold are added; base findings stay, and how many of them the network would
+have found is counted.  The network learns from labelled findings that a seeded generator writes, without
+a look at the data (credentials of many forms; numbers, words of many shapes, names, paths, addresses,
+versions and dates as harmless ones); its output is calibrated on a part that was held back, and its
+threshold is the highest that keeps the recall asked for there.
 
 Defined cases: null text counts as empty and has no findings; very long texts are scanned whole; repeated
 rows are scanned each; extra columns are ignored (redaction keeps all columns).
@@ -37,7 +40,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 LEAST = 16
 _PART = re.compile(r"[A-Za-z0-9+_.-]{16,}")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_ALNUM, _DIGIT, _LETTER = re.compile("[0-9A-Za-z]"), re.compile("[0-9]"), re.compile("[A-Za-z]")
 BEFORE, INSIDE, AFTER = 24, 48, 8
 REACH = 5
 SYMBOLS = 40
@@ -58,19 +61,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Every other run of 16 or more secret-like characters with a digit and a letter; of a run that base findings touch, the parts that they leave."""
-    if not _DIGIT.search(text):
-        return []
-    out = []
+    """Every run of 16 or more secret-like characters that holds a letter or a digit; of a run that base findings touch, the parts that they leave."""
+    out, k = [], 0
     for m in CANDIDATE.finditer(text):
-        at, parts = m.start(), []
-        for _, s, e in base:
-            if s < m.end() and at < e:
-                parts.append((at, s))
-                at = e
-        for s, e in [*parts, (at, m.end())]:
-            if e - s >= LEAST and _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
-                out.append((s, e))
+        at, parts, end = m.start(), [], m.end()
+        while k < len(base) and base[k][2] <= at:
+            k += 1
+        for _, s, e in base[k:]:
+            if s >= end:
+                break
+            parts.append((at, s))
+            at = max(at, e)
+        out += [(s, e) for s, e in [*parts, (at, end)] if e - s >= LEAST and _ALNUM.search(text, s, e)]
     return out
 
 
@@ -172,7 +174,7 @@ class Network:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's slope and shift, then the highest threshold (0.5 at least) whose recall on these rows is `recall`, but no lower than needed."""
+        """Platt's slope and shift, then the highest threshold whose recall on these rows is `recall`."""
         z = self._forward(x)["z"]
         w = np.array([1.0, 0.0])
         rows = np.c_[z, np.ones(len(z))]
@@ -195,8 +197,11 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     pick = lambda chars, k: "".join(rng.choice(list(chars), int(k)))
     any_of = lambda xs: xs[int(rng.integers(len(xs)))]
     low, up, dig, hexa = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
-    syllables = ("the", "er", "on", "an", "re", "in", "ti", "ou", "es", "ing", "de", "la", "que", "ment", "sch", "ge", "ung", "cion", "st", "ed", "is", "at", "it")
-    word = lambda a=1, b=5: "".join(any_of(syllables) for _ in range(int(rng.integers(a, b))))
+    onsets = (*"bcdfghjklmnprstvwz", *"bcdfghlmnprst", "br", "ch", "cl", "dr", "fl", "gr", "ph", "pl", "pr", "qu", "sch", "sh", "sl", "sp", "st", "str", "th", "tr", "wh", "")
+    vowels = (*"aeiou", *"aeio", "ai", "ea", "ei", "ie", "io", "oo", "ou", "ue", "y")
+    codas = ("", "", "", "", "l", "m", "n", "r", "s", "t", "ch", "ck", "ll", "nd", "ng", "nt", "rt", "ss", "st", "th")
+    syllable = lambda: any_of(onsets) + any_of(vowels) + any_of(codas)
+    word = lambda a=1, b=5: "".join(syllable() for _ in range(int(rng.integers(a, b))))
     prose = lambda k: " ".join(word() + any_of(("", "", "", ",", ".")) for _ in range(k))
     secrets = (
         lambda: pick(low + up + dig, rng.integers(20, 48)),
@@ -217,6 +222,20 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: f"20{pick(dig, 2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}.{pick(dig, 2)}",
         lambda: "v" + ".".join(str(rng.integers(0, 20)) for _ in range(4)) + "-" + word(2, 5),
         lambda: word(4, 7) + pick(dig, rng.integers(1, 3)),
+        lambda: word(5, 10),
+        lambda: word(5, 9).capitalize(),
+        lambda: word(5, 9).upper(),
+        lambda: word(3, 6).upper() + pick(string.ascii_uppercase, 3),
+        lambda: word(5, 12),
+        lambda: any_of(("", "www.", "mx" + pick(dig, 1) + ".", word(1, 3) + pick(dig, rng.integers(0, 3)) + ".")) + word(2, 5) + any_of(("", "-" + word(1, 3), pick(dig, 1))) + "." + any_of(("com", "org", "net", "io", "de", "co.uk", "info")),
+        lambda: word(1, 3) + any_of((".", "_", "")) + word(1, 4) + pick(dig, rng.integers(0, 4)) + "." + word(2, 4) + "." + any_of(("com", "org", "net", "fr", "es")),
+        lambda: any_of(("-", "_", ".", "--", "...", "/")).join(word(2, 4) for _ in range(4)),
+        lambda: any_of(("-", "_", ".", "/")).join(word(2, 4).capitalize() for _ in range(4)),
+        lambda: "_".join(word(2, 3) for _ in range(4)).upper(),
+        lambda: word(1, 3) + "".join(word(1, 3).capitalize() for _ in range(4)),
+        lambda: pick(dig, rng.integers(16, 32)),
+        lambda: "+" + pick(dig, 2) + "-" + "-".join(pick(dig, int(rng.integers(3, 6))) for _ in range(4)),
+        lambda: any_of("=-_.") * int(rng.integers(16, 60)) + any_of(("", "", word(1, 2))),
         lambda: "/".join(word(1, 3) for _ in range(4)) + pick(dig, 1) + ".html",
         lambda: word(3, 5) + "-" + pick(dig, rng.integers(1, 5)) + "-" + word(2, 4),
         lambda: "=" * 12 + pick(dig, 3) + "a" + "=" * 6,
@@ -228,13 +247,17 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: "//" + word(2, 4) + ".org/" + "/".join(word(1, 3) + any_of(("", "", "-" + word(1, 3), "_" + pick(dig, 2))) for _ in range(int(rng.integers(6, 12)))),
     )
     leads = ("key: ", "Authorization: Bearer ", "credential=", "auth ", "client ", 'pwd="', "private ", "use ", "", "", "", "")
+    others = (
+        lambda: word(1, 3) + any_of((".", "_", "")) + word(1, 3) + pick(dig, rng.integers(0, 4)) + "@",
+        lambda: any_of(("http:", "https:", "file ", "see ", "(", "#", "tel: ", "page ", "no. ")),
+    )
     rows, y = [], np.zeros(n)
     for i in range(n):
         y[i] = rng.random() < 0.5
         run = any_of(secrets if y[i] else harmless)()
-        while len(run) < 16 or not _DIGIT.search(run) or not _LETTER.search(run):
-            run += pick(dig + hexa, 4) if y[i] else word(1, 3) + "1"
-        before = prose(4) + " " + (any_of(leads) if y[i] or rng.random() < 0.1 else "")
+        while len(run) < 16 or y[i] and not (_DIGIT.search(run) and _LETTER.search(run)):
+            run += pick(dig + hexa, 4) if y[i] else word(1, 3)
+        before = prose(4) + " " + (any_of(leads) if y[i] or rng.random() < 0.1 else any_of(others)() if rng.random() < 0.3 else "")
         if not CANDIDATE.match(before[-1:] + run) and before[-1:] in "=":
             before += '"'
         rows.append((before + run + any_of((" ", "\n", '" ', ", ")) + prose(2), len(before), len(before) + len(run)))
@@ -242,7 +265,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
 
 
 @functools.lru_cache(maxsize=2)
-def trained(n: int = 3_000, recall: float = RECALL) -> Network:
+def trained(n: int = 6_000, recall: float = RECALL) -> Network:
     rows, y = labelled_findings(n, seed=1)
     x = np.array([window(*r) for r in rows])
     network, cut = Network(), n * 3 // 4
@@ -253,42 +276,44 @@ def trained(n: int = 3_000, recall: float = RECALL) -> Network:
     return network
 
 
-def scan(texts: list[str], network: Network) -> list[tuple[list[Span], list[Span]]]:
-    """Of each text the base findings, and all findings."""
+def scan(texts: list[str], network: Network) -> list[tuple[list[Span], list[Span], int]]:
+    """Of each text the base findings, all findings, and how many base findings the network finds as well."""
     base = [base_spans(t) for t in texts]
-    found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, base[i])]
-    every = [list(b) for b in base]
+    found = [(i, s, e, None) for i, t in enumerate(texts) for s, e in candidates(t, base[i])]
+    found += [(i, s, e, kind) for i, spans in enumerate(base) for kind, s, e in spans]
+    every, likely = [list(b) for b in base], [0] * len(texts)
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
-        seen = [looks(texts[i], s, e) for i, s, e in part]
+        seen = [looks(texts[i], s, e) for i, s, e, _ in part]
         first = np.cumsum([0, *map(len, seen)])[:-1]
         # Windows of very long runs are many: no more than some thousand are held at a time.
-        views = ((texts[i], s, e) for (i, _, _), x in zip(part, seen) for s, e in x)
+        views = ((texts[i], s, e) for (i, *_), x in zip(part, seen) for s, e in x)
         p = np.concatenate([network.probability(np.array([window(*v) for v in some])) for some in batched(views, 4096)])
-        for (i, s, e), yes in zip(part, np.maximum.reduceat(p, first) >= max(network.threshold, 1e-9)):
-            if yes:
+        for (i, s, e, kind), yes in zip(part, np.maximum.reduceat(p, first) >= max(network.threshold, 1e-9)):
+            if yes and kind is None:
                 every[i].append(("network", s, e))
-    return [(b, sorted(x, key=lambda s: (s[1], KINDS.index(s[0])))) for b, x in zip(base, every)]
+            likely[i] += bool(yes and kind)
+    return [(b, sorted(x, key=lambda s: (s[1], KINDS.index(s[0]))), n) for b, x, n in zip(base, every, likely)]
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_network long"
+_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_network long, n_base_likely long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], network) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_network", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_network", pa.int64()), ("n_base_likely", pa.int64())])
     for batch in small_slices(batches):
         found = scan(batch.column("text").to_pylist(), network.value)
-        counts = {f"n_{k}": [sum(s[0] == k for s in every) for _, every in found] for k in KINDS}
-        digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found]
-        yield batch_of({"doc_id": batch.column("doc_id"), "base_sha256": digests, "spans": [joined(x) for _, x in found], **counts}, schema)
+        counts = {f"n_{k}": [sum(s[0] == k for s in every) for _, every, _ in found] for k in KINDS}
+        digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _, _ in found]
+        yield batch_of({"doc_id": batch.column("doc_id"), "base_sha256": digests, "spans": [joined(x) for _, x, _ in found], "n_base_likely": [n for _, _, n in found], **counts}, schema)
 
 
 def find_secrets(docs: DataFrame, network: Network) -> DataFrame:
-    """One row per document: counts by kind, the base findings' digest, all spans, the network's count."""
+    """One row per document: counts by kind, the base findings' digest, all spans, how many the network added, how many base findings it finds as well."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
     return texts_of(docs).mapInArrow(functools.partial(_scan, network=shared), _FOUND)
 
@@ -311,7 +336,7 @@ def redact_column(network):
             out = []
             for b in small_slices(iter([pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])])):
                 rows = b.column("text").to_pylist()
-                out += [t if t is None else redact(t, every) for t, (_, every) in zip(rows, scan([t or "" for t in rows], network.value))]
+                out += [t if t is None else redact(t, every) for t, (_, every, _) in zip(rows, scan([t or "" for t in rows], network.value))]
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
