@@ -178,8 +178,9 @@ class Model:
 def learn(docs: DataFrame, allowed, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """A model of docs(doc_id, text, lang) where the condition `allowed` holds.
 
-    Two passes: counts by language (ids and labels only), then the texts of about per_language ids of
-    each, by a hash below a threshold.  Their feature rows, not the texts, come to the driver.
+    Two passes: counts by language (ids and labels only), then the texts of about per_language rows of
+    each, by a hash below a threshold.  Their feature rows, not the texts, come to the driver.  The sample's
+    bound also bounds the languages: the commonest ``sample // 4`` (1,000) are learned.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     known = known.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -188,9 +189,10 @@ def learn(docs: DataFrame, allowed, per_language: int = PER_LANGUAGE, sample: in
     if not langs:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
     each = min(per_language, sample // len(langs))
-    share = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), 1_000_000) / 1_000_000.0
+    # By row, not by id: one id may have any number of rows.
+    share = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), 1_000_000) / 1_000_000.0
     limit = functools.reduce(lambda c, x: c.when(F.col("lang") == x, F.lit(each / counts[x])), langs, F.when(F.lit(False), 0.0))
-    rows = known.where(share < limit).mapInArrow(_feature_rows, "lang string, at binary, value binary").collect()
+    rows = known.withColumn("_share", share).where(F.col("_share") < limit).select("lang", "text").mapInArrow(_feature_rows, "lang string, at binary, value binary").collect()
     x, of = np.zeros((len(rows), BUCKETS), np.float32), np.zeros(len(rows), np.int64)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
