@@ -3,12 +3,17 @@
 The lexicon is learned from labelled texts: words, and word beginnings, that toxic texts have far more
 often.  They form a trie; its product with the Levenshtein automaton of distance one (for longer words) is
 made deterministic once and run over every word of every whole text at the same time, character by
-character, in numpy; most words leave it after three or four characters.  Each hit is seen with the window
-around it: hits between quotation marks count apart from plain ones, and hits with another hit nearby count
-as bursts.  A logistic regression on these counts gives the score.
-
-Learning uses a bounded, documented sample (at most about ``per_class`` labelled texts of either class,
-chosen by a hash of the id); lexicon, automaton and regression have bounded sizes and are broadcast.
+character, in numpy; most words leave it after three or four characters.  Tokens with digits or marks between
+their letters pass it too, with these as symbols: one that commonly stands for a letter is read as that
+letter, another as a character of no term, which the automaton forgives as it does a wrong letter.  Each hit
+is seen with the window around it: hits between quotation marks count apart from plain ones, and hits with
+another hit nearby count as bursts.  A logistic regression on these counts, on how many words come near the
+lexicon and on the text's length gives the score, so texts without hits differ too.
+
+Learning uses a bounded, documented sample (about ``per_class`` labelled texts of either class, chosen by
+hashes; ``lexicon_size`` candidates for the lexicon); lexicon, automaton and regression are broadcast.  A term
+needs a surprise that shrinks with the number of toxic texts, so few labels give a lexicon as well.  A word
+within one edit of a term is harmless if plain (unquoted) occurrences in the sample speak for clean texts.
 
 Defined cases: null text counts as empty; a text without hits has the regression's base score; documents
 with several labels count as toxic if one says so; null labels are not learned from; without labelled texts
@@ -35,6 +40,8 @@ PER_CLASS = 4_000
 #: Candidates for the lexicon.
 LEXICON = 1_000
 LEAST_LIFT, LEAST_SURPRISE = 10, 12
+#: Where few texts are toxic, this share of the surprise of a term that all of them have is enough.
+SHARE_OF_SURPRISE = 0.2
 #: Share of toxic texts from which a term needs no other reason.
 COMMON = 0.03
 #: Characters on either side of a hit.
@@ -43,7 +50,11 @@ FUZZY_FROM = 5
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Characters that open or close a quotation.
 QUOTES = "\"“”„«»‹›"
-N_FEATURES = 7
+#: Digits and marks that stand for letters.
+STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"}
+N_FEATURES = 9
+#: Characters after which a word that is still in the automaton counts as near the lexicon.
+NEAR_AFTER = 3
 
 _WORD = regex.compile(r"\p{L}+")
 EXACT, STEM, FUZZY = 1, 2, 3
@@ -124,12 +135,16 @@ class Automaton:
 
     def hits(self, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, kinds and weights of the words of `lower` (letters, 0 elsewhere, 0 at both ends) that the automaton accepts."""
+        return self.walk(lower)[:3]
+
+    def walk(self, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The hits, and the starts of the words that are in the automaton for NEAR_AFTER characters."""
         is_letter = lower != 0
         starts = np.flatnonzero(is_letter[1:] & ~is_letter[:-1]) + 1
         symbol = self.symbol[lower]
         state = np.ones(len(starts), np.int32)
         word, at = np.arange(len(starts)), starts.copy()
-        found, kind, weight = [], [], []
+        found, kind, weight, depth, near = [], [], [], 0, starts[:0]
         while len(word):
             ended = ~is_letter[at]
             state = np.where(ended, state, self.table[state, symbol[at]])
@@ -140,11 +155,54 @@ class Automaton:
                 weight.append(self.weight[state[over]])
             on = ~ended & ~over & (state != 0)
             word, at, state = word[on], at[on] + 1, state[on]
+            depth += 1
+            if depth == NEAR_AFTER:
+                near = starts[word]
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.float32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.float32), near
         found, kind, weight = map(np.concatenate, (found, kind, weight))
         order = np.argsort(found, kind="stable")
-        return found[order], kind[order], weight[order]
+        return found[order], kind[order], weight[order], near
+
+
+@functools.lru_cache(maxsize=1)
+def _marks() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 1 a mark or digit that may stand within a word, 2 one that stands for a letter, 0 another; and the character it is read as (1: one of no term)."""
+    kind, read = np.zeros(0x110000, np.uint8), np.ones(0x110000, np.uint32)
+    for c in range(0x21, 0x3000):
+        if not (chr(c).isalpha() or chr(c).isspace() or chr(c) in QUOTES):
+            kind[c] = 1
+    for c, letter in STANDS_FOR.items():
+        kind[ord(c)], read[ord(c)] = 2, ord(letter)
+    return kind, read
+
+
+def masked(code: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with digits or marks between their letters: their characters as the automaton reads them, 0 between tokens; where each begins there and in the text.
+
+    A token is a run without white space or quotation marks, without the marks at its ends; those that stand for letters stay, but for a last exclamation mark.
+    """
+    kind, read = _marks()
+    mark = np.where(lower == 0, kind[code], 0)
+    inside = (lower != 0) | (mark > 0)
+    place = np.arange(len(code))
+    keep_first = (lower != 0) | (mark == 2)
+    keep_last = keep_first & (code != ord("!"))
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:])
+    first = np.minimum.accumulate(np.where(keep_first, place, len(code))[::-1])[::-1][starts]
+    last = np.maximum.accumulate(np.where(keep_last, place, -1))[ends]
+    marks, letters_ = np.cumsum(mark > 0), np.cumsum(lower != 0)
+    ok = (first < last) & (last <= ends)
+    first, last = first[ok], last[ok]
+    ok = (marks[last] > marks[first] - (mark[first] > 0)) & (letters_[last] - letters_[first] + (lower[first] != 0) >= 2)
+    first, last = first[ok], last[ok]
+    size = last - first + 2  # with the 0 before the next token
+    begin = np.cumsum(size) - size + 1
+    out = np.zeros(int(size.sum()) + 2, np.uint32)
+    shift = np.repeat(begin - first, size - 1)
+    at = np.arange(len(shift)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + np.repeat(first, size - 1)
+    out[at + shift] = np.where(lower[at] != 0, lower[at], read[code[at]])
+    return out, begin, first
 
 
 class Lexicon:
@@ -154,17 +212,38 @@ class Lexicon:
         self.automaton = Automaton(words, stems, harmless)
 
     def resembling(self, text: str) -> set[str]:
-        """The words of the text that count as misspelt lexicon words."""
+        """The words of the text, outside quotations, that count as misspelt lexicon words."""
         lower, _ = letters([text])
         at, kind, _ = self.automaton.hits(lower)
-        return {_WORD.match(text, int(i) - 1)[0].lower() for i in at[kind == FUZZY]}
+        return {_WORD.match(text, int(i) - 1)[0].lower() for i in at[kind == FUZZY] if not self._quoted(text, int(i) - 1)}
+
+    def _hits(self, texts: list[str], lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, kinds and weights of words, and of masked tokens in which no word was found; the starts of words near the lexicon."""
+        at, kind, weight, near = self.automaton.walk(lower)
+        code = np.frombuffer(("\0" + "\0\0".join(texts) + "\0\0\0").encode("utf-32-le", "replace"), np.uint32)
+        read, begin, first = masked(code, lower)
+        if len(begin):
+            at2, _, weight2 = self.automaton.hits(read)
+            token = np.searchsorted(begin, at2, side="right") - 1
+            whole = begin[token] == at2  # a stem or word at the token's begin
+            at2, weight2, token = first[token[whole]], weight2[whole], token[whole]
+            after = np.r_[begin[1:], len(read)] - begin - 1  # the token's length
+            apart = np.searchsorted(at, at2) == np.searchsorted(at, at2 + after[token])
+            at, kind, weight = np.r_[at, at2[apart]], np.r_[kind, np.full(apart.sum(), FUZZY, np.int8)], np.r_[weight, weight2[apart]]
+            order = np.argsort(at, kind="stable")
+            at, kind, weight = at[order], kind[order], weight[order]
+        return at, kind, weight, near
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: weights of plain exact, stem and misspelt hits, of quoted ones, bursts, any hit, and the share of words hit."""
+        """Of each text: weights of plain exact, stem and misspelt hits, of quoted ones, bursts, any hit, the share of words hit, the share near the lexicon, and the number of words (log)."""
         out = np.zeros((len(texts), N_FEATURES))
+        if not texts:
+            return out
         lower, starts = letters(texts)
-        at, kind, weight = self.automaton.hits(lower)
-        n_words = np.add.reduceat(np.r_[False, (lower[1:] != 0) & (lower[:-1] == 0)].astype(np.int64), starts) if texts else np.zeros(0)
+        at, kind, weight, close = self._hits(texts, lower)
+        n_words = np.add.reduceat(np.r_[False, (lower[1:] != 0) & (lower[:-1] == 0)].astype(np.int64), starts)
+        out[:, 7] = np.bincount(np.searchsorted(starts, close, side="right") - 1, minlength=len(texts)) / np.maximum(1, n_words)
+        out[:, 8] = np.log1p(n_words) / 10
         if not len(at):
             return out
         doc = np.searchsorted(starts, at, side="right") - 1
@@ -245,8 +324,10 @@ def _held_terms(batches: Iterator[pa.RecordBatch], terms: list[tuple[str, bool]]
 
 
 def _resembling(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("word", pa.string()), ("toxic", pa.int32())])
     for batch in small_slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column("text").to_pylist() for w in lexicon.resembling(t)], pa.string())], names=["word"])
+        found = [(w, y) for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()) for w in lexicon.resembling(t)]
+        yield batch_of({"word": [w for w, _ in found], "toxic": [y for _, y in found]}, schema)
 
 
 def surprise_of(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
@@ -254,6 +335,10 @@ def surprise_of(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float
     return toxic * math.log((toxic + 0.5) / (toxic + clean + 1) / (n_toxic / (n_toxic + n_clean)))
 
 
+def least_surprise(n_toxic: int, n_clean: int) -> float:
+    return min(LEAST_SURPRISE, SHARE_OF_SURPRISE * surprise_of(n_toxic, 0, n_toxic, max(1, n_clean)))
+
+
 def choose(terms: list[tuple[str, bool]], rows: list) -> Lexicon:
     """Terms one by one: always the most surprising one among the toxic texts that no chosen term explains.
 
@@ -278,11 +363,12 @@ def choose(terms: list[tuple[str, bool]], rows: list) -> Lexicon:
         near = [k for k in range(len(terms)) if gain[k] >= 0.95 * max(gain)]
         return max(near, key=lambda k: (not terms[k][1], len(terms[k][0]), gain[k], terms[k][0]))
 
+    least = least_surprise(n_toxic, n_clean)
     while len(open_rows):
         found = open_rows.sum(axis=0).tolist()
         gain = [surprise_of(t, c, len(open_rows), n_clean) if t else 0.0 for t, c in zip(found, clean.tolist())]
         best = first(gain)
-        if gain[best] < LEAST_SURPRISE:
+        if gain[best] < least:
             break
         add(best)
         open_rows = open_rows[~open_rows[:, best]]
@@ -305,7 +391,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.Rec
 
 
 #: Weights before learning: a misspelt term counts as a term until labelled texts tell otherwise.
-PRIOR = (2.0, 2.0, 2.0, 0.0, 0.0, 1.0, 0.5)
+PRIOR = (2.0, 2.0, 2.0, 0.0, 0.0, 1.0, 0.5, 0.1, 0.1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 0.02) -> tuple[np.ndarray, float]:
@@ -335,7 +421,11 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, per_class: int = PER_CLAS
     share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), 1_000_000) / 1_000_000.0
     sampled = known.where(share < F.when(F.col("toxic") == 1, F.lit(per_class / n[1])).otherwise(F.lit(per_class / max(1, n.get(0, 0)))))
     # About 2 * per_class ids: a proven bound.
-    texts = stored(texts_of(docs).join(F.broadcast(sampled), "doc_id").select("text", "toxic"))
+    texts = stored(texts_of(docs).join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "toxic").dropDuplicates())
+    # An id may have many texts: of more rows than the sample is meant to hold, a share by hash stays.
+    n_texts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    kept = F.pmod(F.xxhash64("doc_id", "text"), 1_000_000) / 1_000_000.0 < F.when(F.col("toxic") == 1, min(1.0, 2 * per_class / max(1, n_texts.get(1, 0)))).otherwise(min(1.0, 2 * per_class / max(1, n_texts.get(0, 0))))
+    texts = texts.where(kept).drop("doc_id")
     counts = texts.mapInArrow(_count_terms, "term string, stem boolean, toxic long, clean long")
     n_toxic, n_clean = min(n[1], per_class), min(n.get(0, 0), per_class)
     lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
@@ -343,7 +433,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, per_class: int = PER_CLAS
     best = (
         counts.groupBy("term", "stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((surprise >= LEAST_SURPRISE) & (lift >= LEAST_LIFT))
+        .where((surprise >= least_surprise(n_toxic, n_clean)) & (lift >= min(LEAST_LIFT, n_toxic / 4)))
         .orderBy(F.desc(surprise), "term", "stem")
         .limit(lexicon_size)
         .collect()
@@ -352,8 +442,9 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, per_class: int = PER_CLAS
     if not terms:
         return Model(None, np.zeros(N_FEATURES), 0.0)
     lexicon = choose(terms, texts.mapInArrow(functools.partial(_held_terms, terms=terms), "toxic int, held array<int>").collect())
-    seen = texts.where("toxic = 0").mapInArrow(functools.partial(_resembling, lexicon=lexicon), "word string")
-    harmless = seen.groupBy("word").count().orderBy(F.desc("count"), "word").limit(lexicon_size).collect()
+    seen = texts.mapInArrow(functools.partial(_resembling, lexicon=lexicon), "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    # Words of the bounded sample one edit from a term.
+    harmless = seen.where((F.col("n") - F.col("toxic") + 0.5) / (n_clean + 1) > (F.col("toxic") + 0.5) / (n_toxic + 1)).orderBy("word").collect()
     lexicon = Lexicon(lexicon.words, lexicon.stems, tuple(r["word"] for r in harmless))
     shared = spark.sparkContext.broadcast(lexicon)
     rows = texts.mapInArrow(functools.partial(_feature_rows, lexicon=shared), "toxic int, x array<double>").collect()
