@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of up to ``chunk`` code points is one piece.  A longer one is cut into chunks that overlap by
-``overlap`` code points; the chunks are dealt over the cluster and pre-tokenised in parallel.  Where the
-boundaries that two neighbours found in their common stretch agree (and no white space precedes, so no
-look-ahead of the pattern reaches over it), both have the same pre-tokens from there on: the text is
-cut there and the pieces are encoded on their own.  Where neighbours never agree (one pre-token longer
-than the overlap) their chunks are joined into one piece, so the result always equals the encoding of
-the whole text.
+Every text is cut into chunks that overlap; each chunk is pre-tokenised on its own.  Where the boundaries
+that two neighbours found in their common stretch agree (and no white space precedes, so no look-ahead of
+the pattern reaches over it), both have the same pre-tokens from there on: the text is cut there and the
+pieces are encoded on their own.  Where neighbours never agree (one pre-token longer than the overlap) their
+chunks are joined into one piece, so the result always equals the encoding of the whole text.  Decoding
+concatenates the pieces' raw bytes.
+
+A text of up to ``spread`` code points has its chunks (of ``chunk``, overlapping by ``overlap``) worked on
+where it lies.  A longer one is first spread over the cluster by the same rule, in chunks of ``spread``
+that overlap by ``overlap``; its pieces are then chunked where they lie, and put together by their order.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows are each encoded (they keep
 apart by a row key); empty tables give empty results; other columns are ignored.
@@ -30,8 +33,9 @@ from pyspark.sql import window as W
 
 from .common import batch_of, partitions, small_slices, table, texts_of
 
-CHUNK = 32_768
-OVERLAP = 512
+CHUNK = 1_024
+SPREAD = 32_768
+OVERLAP = 128
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,10 +45,6 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_bytes(enc: tiktoken.Encoding, text: str) -> bytes:
-    return np.asarray(enc.encode_ordinary(text), dtype="<u4").tobytes()
-
-
 def decode_ids(enc: tiktoken.Encoding, ids: bytes) -> bytes:
     return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
@@ -62,22 +62,42 @@ def boundaries(text: str, from_pos: int, to_pos: int) -> list[int]:
     ]
 
 
-_CUTS = "part long, k int, text string, head array<int>, tail array<int>"
+def seams(text: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Of a chunk with its overlap: the safe cuts in the stretch shared with the chunk before, and those shared with the next, counted from where that begins."""
+    cuts = boundaries(text, 0, len(text))
+    return [c for c in cuts if c < overlap], [c - chunk for c in cuts if chunk <= c < chunk + overlap and c < len(text)]
+
+
+def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The text in pieces, cut where its overlapping chunks resynchronise."""
+    if len(text) <= chunk:
+        return [text]
+    found = [seams(text[at : at + chunk + overlap], chunk, overlap) for at in range(0, len(text), chunk)]
+    cuts = [0]
+    for k in range(1, len(found)):
+        both = set(found[k - 1][1]).intersection(found[k][0])
+        if both:
+            cuts.append(k * chunk + min(both))
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+def encode_bytes(enc: tiktoken.Encoding, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+    """The ids of the text's pieces, one after the other."""
+    return b"".join([np.asarray(enc.encode_ordinary(piece), dtype="<u4").tobytes() for piece in stitched(text, chunk, overlap)])
+
+
+_CUTS = "part string, k int, text string, head array<int>, tail array<int>"
 
 
 def _pretokenise(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part", pa.int64()), ("k", pa.int32()), ("text", pa.string()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
+    schema = pa.schema([("part", pa.string()), ("k", pa.int32()), ("text", pa.string()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
     for batch in small_slices(batches):
         texts = batch.column("text").to_pylist()
-        heads, tails = [], []
-        for t in texts:
-            cuts = boundaries(t, 0, len(t))
-            heads.append([c for c in cuts if c < overlap])
-            tails.append([c - chunk for c in cuts if chunk <= c < chunk + overlap and c < len(t)])
+        heads, tails = zip(*[seams(t, chunk, overlap) for t in texts])
         yield batch_of({"part": batch.column("part"), "k": batch.column("k"), "text": texts, "head": heads, "tail": tails}, schema)
 
 
-def pieces(long_docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def pieces(long_docs: DataFrame, chunk: int = SPREAD, overlap: int = OVERLAP) -> DataFrame:
     """(part, k, text): the long texts of (part, text) cut where their chunks resynchronise; texts by k give the whole."""
     n = F.length("text")
     cut = (
@@ -101,12 +121,12 @@ def pieces(long_docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     ).select("part", F.col("piece").cast("int").alias("k"), "text")
 
 
-_IDS = "part long, k int, ids binary, raw binary"
+_IDS = "part string, k int, ids binary, raw binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoding(path)
-    schema = pa.schema([("part", pa.int64()), ("k", pa.int32()), ("ids", pa.binary()), ("raw", pa.binary())])
+    schema = pa.schema([("part", pa.string()), ("k", pa.int32()), ("ids", pa.binary()), ("raw", pa.binary())])
     for batch in small_slices(batches):
         ids = [encode_bytes(enc, t) for t in batch.column("text").to_pylist()]
         yield batch_of({"part": batch.column("part"), "k": batch.column("k"), "ids": ids, "raw": [decode_ids(enc, i) for i in ids]}, schema)
@@ -128,22 +148,22 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         )
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, spread: int = SPREAD, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded (bytes) of every row of docs(doc_id, text)."""
     from_row = texts_of(docs)
-    small = from_row.where(F.length("text") <= chunk).mapInArrow(functools.partial(_whole, path=path), "doc_id long, ids binary, decoded binary")
-    large = _long(from_row.where(F.length("text") > chunk), path, chunk, overlap)
+    small = from_row.where(F.length("text") <= spread).mapInArrow(functools.partial(_whole, path=path), "doc_id long, ids binary, decoded binary")
+    large = _long(from_row.where(F.length("text") > spread), path, spread, overlap)
     return small.unionByName(large.select("doc_id", "ids", F.col("raw").alias("decoded")))
 
 
-def _long(long_docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+def _long(long_docs: DataFrame, path: str, spread: int, overlap: int) -> DataFrame:
     """doc_id, ids, raw of every long row.
 
     A row's key is a hash of its id and text, so equal ids don't mix; rows that repeat both are coded once and expanded by their count.
     """
-    keyed = long_docs.withColumn("part", F.xxhash64("doc_id", "text"))
+    keyed = long_docs.withColumn("part", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), "text"), 256))
     counts = keyed.groupBy("part").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    cut = pieces(keyed.select("part", "text").dropDuplicates(["part"]), chunk, overlap)
+    cut = pieces(keyed.select("part", "text").dropDuplicates(["part"]), spread, overlap)
     return _joined(cut, path).join(counts, "part").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "ids", "raw")
 
 
@@ -163,8 +183,8 @@ def _joined(cut: DataFrame, path: str) -> DataFrame:
         .agg(ordered.alias("all"))
         .select(
             "part",
-            F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
-            F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["raw"])).alias("raw"),
+            # Joined as text once: adding up binaries would copy what is there for every piece.
+            *(F.unhex(F.array_join(F.transform(F.col("all")[c], F.hex), "")).alias(c) for c in ("ids", "raw")),
         )
     )
 
@@ -181,15 +201,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
-def digests(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def digests(docs: DataFrame, path: str, spread: int = SPREAD, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: n_tokens and SHA-256 of the ids and of the decoded bytes.
 
-    Short texts are read, encoded and digested where they lie; only texts over ``chunk`` code points are shuffled.
+    Only texts over ``spread`` code points are shuffled.
     """
     from_row = texts_of(docs)
-    short = from_row.where(F.length("text") <= chunk)
+    short = from_row.where(F.length("text") <= spread)
     small = short.mapInArrow(functools.partial(_digest, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    large = _long(from_row.where(F.length("text") > chunk), path, chunk, overlap)
+    large = _long(from_row.where(F.length("text") > spread), path, spread, overlap)
     return small.unionByName(
         large.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
     )
