@@ -1,29 +1,34 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased words and one end per text.  A token's history is its context: the last non-ASCII
-letter so far in its text (the upper context), and that with the class of the previous word's last character
-(the lower context).  Each lower context is a restaurant whose parent is its upper context's; all
-upper contexts share the unigram restaurant as parent, whose base is uniform over the known words and one
-unknown word.  Customers are seated as in the Chinese restaurant process: a Gibbs sweep draws, for all
-dishes and level by level, the tables of a dish anew given the other counts (a blocked move; within a sweep
-the restaurants' totals are those of the sweep before, as in distributed samplers).  After burn-in the
-predictive probabilities of the sweeps are averaged; their logarithms are the score.
+Tokens are lower-cased words and one end per text.  A token's context is the previous word (16 bits of its
+hash; the beginning of a text is a word of its own) together with the class of the last non-ASCII letter so
+far in its text (4 bits).  Each context is a restaurant whose parent is its class's; the classes' restaurants
+share the unigram restaurant as parent, whose base is uniform over the known words and one unknown word.
+Customers are seated as in the Chinese restaurant process: a Gibbs sweep draws, for all dishes and level by
+level, the tables of a dish anew given the other counts (a blocked move; within a sweep the restaurants'
+totals are those of the sweep before, as in distributed samplers).  After burn-in the predictive
+probabilities of the sweeps are averaged; their logarithms are the score.
 
 What makes it scale: a block of texts (about ``block_chars``) becomes one list of distinct (word, context)
 entries with counts, keyed by a hash of the word, and its texts' tokens become indices into that list.  Only
 the lists are dealt by ranges of the word's hash, so all of a word's restaurants meet in one task, a
-frequent word comes once from each block, and no task needs the vocabulary.  Between sweeps only
-the restaurants' totals (a few thousand numbers, whatever the corpus) pass through the driver.  The averaged
-probabilities go back block by block.
+frequent word comes once from each block, and no task needs the vocabulary; there are as many ranges as the
+text's length asks for.  Between sweeps only the restaurants' totals (two numbers for each of a million
+contexts, whatever the corpus, added up in slices) pass through the driver.  The averaged probabilities go
+back block by block.
+
+docs must give the same rows in the same order when read twice (a table does): the texts' tokens are made
+in a second pass rather than stored, and a check of each block's entries fails the job should they differ.
 
 Defined cases: null text counts as empty (its end is its only token); repeated rows count and are scored
-each; without training texts every token is unknown; extra columns are ignored.  Words are told apart by 52 bits of
-their XXH3 hash, contexts by 12.
+each; without training texts every token is unknown; extra columns are ignored.  Words are told apart by 44
+bits of their XXH3 hash, contexts by 20.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +38,44 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_remainder, lower_ascii, partitions, small_slices, stored, table, texts_of
+from .common import batch_of, id_remainder, lower_ascii, partitions, small_slices, stored, table
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 20_000_000
+#: Code points of text for each range of words.
+RANGE_CHARS = 16_000_000
 SWEEPS = 4
 BURN_IN = 1
 STRENGTH = (20.0, 10.0, 5.0)
-END = xxhash.xxh3_64_intdigest(b"\n end \n")
-CONTEXT_BITS = 12
-UPPER_BITS = 6
+END, BEGIN = xxhash.xxh3_64_intdigest(b"\n end \n"), xxhash.xxh3_64_intdigest(b"\n begin \n")
+CONTEXT_BITS = 20
+UPPER_BITS = 4
+LOWER_BITS = CONTEXT_BITS - UPPER_BITS
 CONTEXT_MASK = np.uint64((1 << CONTEXT_BITS) - 1)
+LOWER_MASK = np.uint64((1 << LOWER_BITS) - 1)
+#: Restaurants of the levels 0, 1, 2, where each level begins in the list of all, and contexts in a slice of it.
+SIZES, OFFSETS = (1, 1 << UPPER_BITS, 1 << CONTEXT_BITS), ((1 << CONTEXT_BITS) + (1 << UPPER_BITS), 1 << CONTEXT_BITS, 0)
+SLICE = 1 << 14
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Class of a word's last byte: 1 to 62; 0 begins a text, 63 stands for a non-ASCII letter.
-_LAST = np.array([63 if b >= 0x80 else 1 + (b & 31) if 97 <= b <= 122 else 28 + b % 8 if 48 <= b <= 57 else 36 + b % 27 for b in range(256)], np.uint16)
-
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Byte planes, compressed: the high bytes of numbers resemble each other."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
 
 
 def _unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _pack_ascending(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _unpack_ascending(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(_unpack(data, dtype), dtype=dtype)
 
 
 def token_keys(text: str) -> np.ndarray:
@@ -65,48 +85,52 @@ def token_keys(text: str) -> np.ndarray:
     keys = np.empty(len(words) + 1, np.uint64)
     keys[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     keys[-1] = END
+    contexts = np.empty(len(words) + 1, np.uint64)
+    contexts[0] = BEGIN & int(LOWER_MASK)
+    # The high bits of a word's hash are its key, so its context takes low ones.
+    contexts[1:] = keys[:-1] & LOWER_MASK
     raw = np.frombuffer(low, np.uint8)
-    contexts = np.zeros(len(words) + 1, np.uint64)
-    if words:
+    # The last non-ASCII character's last byte up to the end of the previous word.
+    marks = np.flatnonzero(raw >= 0x80)
+    if words and len(marks):
         inside = ~_SPACE[raw]
         last = np.flatnonzero(inside & np.r_[~inside[1:], True])  # last byte of each word
-        contexts[1:] = _LAST[raw[last]]
-        # The last non-ASCII character's last byte up to the end of the previous word.
-        marks = np.flatnonzero(raw >= 0x80)
-        if len(marks):
-            k = np.searchsorted(marks, last, side="right")
-            upper = np.where(k > 0, 1 + (raw[marks[np.maximum(k, 1) - 1]] & 63) % 63, 0).astype(np.uint64)
-            contexts[1:] |= upper << np.uint64(CONTEXT_BITS - UPPER_BITS)
+        k = np.searchsorted(marks, last, side="right")
+        upper = np.where(k > 0, 1 + (raw[marks[np.maximum(k, 1) - 1]] & 63) % ((1 << UPPER_BITS) - 1), 0).astype(np.uint64)
+        contexts[1:] |= upper << np.uint64(LOWER_BITS)
     return keys & ~CONTEXT_MASK | contexts
 
 
-_ENCODED = "kind int, block long, dest int, data array<binary>"
-_ENCODED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("dest", pa.int32()), ("data", pa.list_(pa.binary()))])
-TEXTS, ENTRIES = 0, 1
+#: Of a block a row of its texts (dest -1), or a row of entries for each range that has some.
+_ENCODED = "block long, dest int, data array<binary>"
+_ENCODED_ARROW = pa.schema([("block", pa.int64()), ("dest", pa.int32()), ("data", pa.list_(pa.binary()))])
 #: Stands for a null id in packed rows.
 NO_ID = -(1 << 63)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ranges: int, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """Of each block a row of its texts (ids, training flags, token counts, indices of entries), and a row of entries for each range that has some."""
-    from pyspark import TaskContext
+def _checks(entries: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A hash of each range's entries."""
+    return np.array([xxhash.xxh3_64_intdigest(entries[a:b].tobytes()) for a, b in zip(cut, np.r_[cut[1:], len(entries)])], np.uint64)
+
 
-    block = TaskContext.get().partitionId() << 24
-    keys, ids, train, chars = [], [], [], 0
+def _encode(batches: Iterator[pa.RecordBatch], ranges: int, block_chars: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Of each block the row of its texts (ids, training flags, token counts, indices of entries, checks of its ranges), or its rows of entries."""
+    block, keys, ids, train, chars = 0, [], [], [], 0
 
     def rows() -> pa.RecordBatch:
         n = np.array([len(k) for k in keys], np.int32)
         entries, index = np.unique(np.concatenate(keys), return_inverse=True)
-        learned = np.bincount(index[np.repeat(np.array(train), n)], minlength=len(entries)).astype(np.uint32)
-        data = [[_pack(np.array(ids, np.int64)), _pack(np.array(train)), _pack(n), _pack(index.astype(np.uint32))]]
         dest = _range_of(entries, ranges)
         cut = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]])
-        for a, b in zip(cut, np.r_[cut[1:], len(entries)]):
-            data.append([_pack(entries[a:b]), _pack(learned[a:b])])
-        dests = [-1, *dest[cut].tolist()]
-        return batch_of({"kind": [TEXTS] + [ENTRIES] * len(cut), "block": [block] * len(data), "dest": dests, "data": data}, _ENCODED_ARROW)
+        if texts:
+            data = [[_pack(np.array(ids, np.int64)), _pack(np.array(train)), _pack(n), _pack(index.astype(np.uint32)), _pack(_checks(entries, cut))]]
+            return batch_of({"block": [block], "dest": [-1], "data": data}, _ENCODED_ARROW)
+        learned = np.bincount(index[np.repeat(np.array(train), n)], minlength=len(entries)).astype(np.uint32)
+        data = [[_pack_ascending(entries[a:b]), _pack(learned[a:b])] for a, b in zip(cut, np.r_[cut[1:], len(entries)])]
+        return batch_of({"block": [block] * len(data), "dest": dest[cut], "data": data}, _ENCODED_ARROW)
 
     for batch in small_slices(batches):
+        block = block or batch.column("part")[0].as_py() << 24
         for doc, learn, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "text"))):
             keys.append(token_keys(text))
             ids.append(NO_ID if doc is None else doc)
@@ -123,20 +147,21 @@ def _range_of(entries: np.ndarray, ranges: int) -> np.ndarray:
     return ((entries >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
-_MERGED = "dest int, entries binary, counts binary, blocks array<long>, places array<binary>"
+_MERGED = "dest int, entries binary, counts binary, blocks array<long>, places array<binary>, checks array<long>"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by dest: one row with the range's entries, their training counts, and each block's places among them."""
-    schema = pa.schema([("dest", pa.int32()), ("entries", pa.binary()), ("counts", pa.binary()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+    schema = pa.schema([("dest", pa.int32()), ("entries", pa.binary()), ("counts", pa.binary()), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("checks", pa.list_(pa.int64()))])
 
     def merged(dest: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys = np.concatenate([p[1] for p in parts])
         entries, index = np.unique(keys, return_inverse=True)
         counts = np.bincount(index, np.concatenate([p[2] for p in parts]), len(entries)).astype(np.int64)
         ends = np.cumsum([len(p[1]) for p in parts])
-        places = [_pack(x.astype(np.uint32)) for x in np.split(index, ends[:-1])]
-        return batch_of({"dest": [dest], "entries": [_pack(entries)], "counts": [_pack(counts)], "blocks": [[p[0] for p in parts]], "places": [places]}, schema)
+        places = [_pack_ascending(x.astype(np.uint32)) for x in np.split(index, ends[:-1])]
+        checks = [int(_checks(p[1], np.zeros(1, np.int64)).view(np.int64)[0]) for p in parts]
+        return batch_of({"dest": [dest], "entries": [_pack_ascending(entries)], "counts": [_pack(counts)], "blocks": [[p[0] for p in parts]], "places": [places], "checks": [checks]}, schema)
 
     now, parts = None, []
     for batch in batches:
@@ -145,7 +170,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield merged(now, parts)
                 parts = []
             now = dest
-            parts.append((block, _unpack(data[0], np.uint64), _unpack(data[1], np.uint32)))
+            parts.append((block, _unpack_ascending(data[0], np.uint64), _unpack(data[1], np.uint32)))
     if parts:
         yield merged(now, parts)
 
@@ -179,14 +204,14 @@ class Seating:
         self.dest = dest
         self.context = (entries & CONTEXT_MASK).astype(np.int64)
         self.c2 = counts
-        pair = entries >> np.uint64(CONTEXT_BITS - UPPER_BITS)  # word and upper context
+        pair = entries >> np.uint64(LOWER_BITS)  # word and upper context
         word = entries >> np.uint64(CONTEXT_BITS)
         first1 = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         first0 = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         self.upper_of = np.repeat(np.arange(len(first1)), np.diff(np.r_[first1, len(entries)]))
         self.word_of = np.searchsorted(first0, first1, side="right") - 1
         self.first1, self.first0 = first1, np.searchsorted(first1, first0)
-        self.upper = self.context[first1] >> (CONTEXT_BITS - UPPER_BITS)
+        self.upper = self.context[first1] >> LOWER_BITS
         self.word_counts = np.add.reduceat(counts, first0)
         self.t2 = np.minimum(self.c2, 1)
         self._customers()
@@ -201,15 +226,15 @@ class Seating:
         else:
             self.c0 = np.add.reduceat(np.minimum(self.c1, 1), self.first0)
 
-    def totals(self) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-        """Of each restaurant (level, context): customers, tables, dishes with one customer, with two; level -1 has the tokens and the words."""
-        out = {(-1, 0): (int(self.word_counts.sum()), int((self.word_counts > 0).sum()), 0, 0)}
+    def add_totals(self, sums: np.ndarray, extras: np.ndarray) -> None:
+        """Adds each restaurant's customers and tables; and tokens, words, and by level the dishes with one and with two customers."""
+        extras[:2] += self.word_counts.sum(), (self.word_counts > 0).sum()
         for level, context, c, t in ((2, self.context, self.c2, self.t2), (1, self.upper, self.c1, self.t1), (0, np.zeros(len(self.c0), np.int64), self.c0, self.t0)):
-            n = int(context.max()) + 1
-            sums = [np.bincount(context, x, n) for x in (c, t, c == 1, c == 2)]
-            for k in np.flatnonzero(sums[0]):
-                out[level, int(k)] = tuple(int(s[k]) for s in sums)
-        return out
+            at = OFFSETS[level]
+            for k, x in enumerate((c, t)):
+                sums[k, at : at + SIZES[level]] += np.bincount(context, x, SIZES[level]).astype(np.int64)
+            extras[2 + level] += (c == 1).sum()
+            extras[5 + level] += (c == 2).sum()
 
     def probabilities(self, g: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictive probabilities of the present seating, of words, upper and lower entries."""
@@ -234,30 +259,31 @@ class Seating:
 class Totals:
     """Customers and tables of all restaurants, discounts, and the base probability."""
 
-    def __init__(self, rows: list, discount: tuple[float, float, float] | None = None):
-        self.customers = [np.zeros(1 << CONTEXT_BITS) for _ in range(3)]
-        self.tables = [np.zeros(1 << CONTEXT_BITS) for _ in range(3)]
-        self.tokens = self.words = 0
-        ones, twos = np.zeros(3), np.zeros(3)
+    def __init__(self, rows: list, before: Totals | None = None):
+        sums, extras = np.zeros((2, sum(SIZES)), np.int64), np.zeros(8, np.int64)
         for r in rows:
-            if r["level"] < 0:
-                self.tokens, self.words = r["customers"], r["tables"]
-                continue
-            self.customers[r["level"]][r["context"]] = r["customers"]
-            self.tables[r["level"]][r["context"]] = r["tables"]
-            ones[r["level"]] += r["ones"]
-            twos[r["level"]] += r["twos"]
+            if r["slice"] < 0:
+                extras = _unpack(r["data"], np.int64)
+            else:
+                part = _unpack(r["data"], np.int64).reshape(2, -1)
+                sums[:, r["slice"] * SLICE : r["slice"] * SLICE + part.shape[1]] = part
+        self.tokens, self.words = int(extras[0]), int(extras[1])
+        of_level = lambda x: [x[at : at + n].astype(np.float32) for at, n in zip(OFFSETS, SIZES)]
+        self.customers, self.tables = of_level(sums[0]), of_level(sums[1])
+        if before:
+            self.customers[2] = before.customers[2]  # they never change
         # The usual estimate from dishes with one and with two customers, kept from the first totals on.
-        self.discount = discount or tuple(float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in zip(ones, twos))
+        self.discount = before.discount if before else tuple(float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in zip(extras[2:5], extras[5:8]))
         self.base = 1 / (self.words + 1)
 
 
-_TOTALS = "level int, context int, customers long, tables long, ones long, twos long"
+_TOTALS = "slice int, data binary"
+_TOTALS_ARROW = pa.schema([("slice", pa.int32()), ("data", pa.binary())])
 
 
 def _seated(row: dict, history: list[Totals]) -> Iterator[tuple[int, Seating]]:
     """The seating of a merged row before the first sweep and after each that history allows."""
-    seating = Seating(_unpack(row["entries"], np.uint64), _unpack(row["counts"], np.int64), row["dest"])
+    seating = Seating(_unpack_ascending(row["entries"], np.uint64), _unpack(row["counts"], np.int64), row["dest"])
     yield 0, seating
     for number, g in enumerate(history, 1):
         seating.sweep(g, number)
@@ -265,18 +291,32 @@ def _seated(row: dict, history: list[Totals]) -> Iterator[tuple[int, Seating]]:
 
 
 def _sum_totals(batches: Iterator[pa.RecordBatch], history) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("level", pa.int32()), ("context", pa.int32()), *((n, pa.int64()) for n in ("customers", "tables", "ones", "twos"))])
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    """The task's sums of totals, in slices that are not all zero."""
+    sums, extras = np.zeros((2, sum(SIZES)), np.int64), np.zeros(8, np.int64)
     for batch in batches:
         for row in batch.to_pylist():
             seating = None
             for _, seating in _seated(row, history.value):  # noqa: B007
                 pass
-            for k, v in seating.totals().items():
-                sums[k] = sums.get(k, 0) + np.array(v)
-    if sums:
-        rows = [(*k, *v.tolist()) for k, v in sums.items()]
-        yield batch_of(dict(zip(schema.names, zip(*rows))), schema)
+            seating.add_totals(sums, extras)
+    if extras.any() or sums.any():
+        parts = [(k, sums[:, k * SLICE : (k + 1) * SLICE]) for k in range(math.ceil(sums.shape[1] / SLICE))]
+        parts = [(k, _pack(x.ravel())) for k, x in parts if x.any()] + [(-1, _pack(extras))]
+        yield batch_of(dict(zip(_TOTALS_ARROW.names, zip(*parts))), _TOTALS_ARROW)
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that come by slice."""
+    now, total = None, None
+    for batch in batches:
+        for k, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist()):
+            if k != now and total is not None:
+                yield batch_of({"slice": [now], "data": [_pack(total)]}, _TOTALS_ARROW)
+                total = None
+            now, part = k, _unpack(data, np.int64)
+            total = part if total is None else total + part
+    if total is not None:
+        yield batch_of({"slice": [now], "data": [_pack(total)]}, _TOTALS_ARROW)
 
 
 _MODELLED = "block long, dest int, data array<binary>"
@@ -295,9 +335,9 @@ def _average(batches: Iterator[pa.RecordBatch], history, burn_in: int) -> Iterat
                     n += 1
             p = (p / n).astype(np.float32)
             counts = np.repeat(seating.word_counts, np.diff(np.r_[seating.first1[seating.first0], len(p)]))
-            for block, places in zip(row["blocks"], row["places"]):
-                at = _unpack(places, np.uint32)
-                yield batch_of({"block": [block], "dest": [row["dest"]], "data": [[_pack(p[at]), _pack(counts[at])]]}, schema)
+            for block, places, check in zip(row["blocks"], row["places"], row["checks"]):
+                at = _unpack_ascending(places, np.uint32)
+                yield batch_of({"block": [block], "dest": [row["dest"]], "data": [[_pack(p[at]), _pack(counts[at]), _pack(np.array([check]))]]}, schema)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -314,10 +354,12 @@ def _score(batches: Iterator[pa.RecordBatch], last: Totals) -> Iterator[pa.Recor
             if block != now:
                 now, parts = block, []
             if dest >= 0:
-                parts.append((_unpack(data[0], np.float32), _unpack(data[1], np.int64)))
+                parts.append((_unpack(data[0], np.float32), _unpack(data[1], np.int64), _unpack(data[2], np.uint64)))
                 continue
-            p, c = (np.concatenate(x) for x in zip(*parts))
-            ids, train, n, index = (_unpack(x, t) for x, t in zip(data, (np.int64, bool, np.int32, np.uint32)))
+            p, c, checks = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0),) * 3
+            ids, train, n, index, expected = (_unpack(x, t) for x, t in zip(data, (np.int64, bool, np.int32, np.uint32, np.uint64)))
+            if not np.array_equal(checks, expected):
+                raise RuntimeError("the documents came in another order in the second pass; write them to a table first")
             starts = np.cumsum(n) - n
             sum_of = lambda x: np.add.reduceat(x[index], starts)
             base = np.log10((c + 0.1) / (last.tokens + 0.1 * (last.words + 1)))
@@ -333,21 +375,25 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, burn_in: int = BURN_IN,
     """Counts and log10 probabilities of every row of docs(doc_id, text), learning from those where the condition `train` holds."""
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.withColumn("_train", train)
-    rows = texts_of(rows, F.col("_train").alias("train"))
-    encoded = stored(rows.mapInArrow(functools.partial(_encode, ranges=4 * n, block_chars=block_chars), _ENCODED), "kind")
-    entries = encoded.where(F.col("kind") == ENTRIES).select("dest", "block", "data")
-    merged = stored(entries.repartition(n, "dest").sortWithinPartitions("dest", "block").mapInArrow(_merge, _MERGED))
+    rows = docs.select("doc_id", "text", train.alias("train")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "train")
+    # The partition's number in the table, whatever the stage that reads it.
+    rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
+    chars = rows.agg(F.sum(F.length("text") + 1).alias("chars")).first()["chars"] or 0
+    ranges = max(4 * n, math.ceil(chars / RANGE_CHARS))
+    encode = functools.partial(_encode, ranges=ranges, block_chars=block_chars)
+    entries = rows.mapInArrow(functools.partial(encode, texts=False), _ENCODED)
+    merged = stored(entries.repartition(max(n, ranges // 4), "dest").sortWithinPartitions("dest", "block").mapInArrow(_merge, _MERGED))
     history: list[Totals] = []
     for _ in range(sweeps + 1):
         shared = spark.sparkContext.broadcast(list(history))
         sums = merged.select("dest", "entries", "counts").mapInArrow(functools.partial(_sum_totals, history=shared), _TOTALS)
-        found = sums.groupBy("level", "context").agg(*(F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos"))).collect()
-        history.append(Totals(found, history[0].discount if history else None))
+        # 65 slices and a row of sums: a proven bound.
+        found = sums.repartition(min(n, 64), "slice").sortWithinPartitions("slice").mapInArrow(_add, _TOTALS).collect()
+        history.append(Totals(found, history[0] if history else None))
     shared = spark.sparkContext.broadcast(history)
     modelled = merged.mapInArrow(functools.partial(_average, history=shared, burn_in=burn_in), _MODELLED)
-    texts = encoded.where(F.col("kind") == TEXTS).select("block", F.lit(-1).alias("dest"), "data")
-    dealt = modelled.unionByName(texts).withColumn("late", F.col("dest") < 0).repartition(n, "block").sortWithinPartitions("block", "late", "dest")
+    dealt = modelled.unionByName(rows.mapInArrow(functools.partial(encode, texts=True), _ENCODED)).withColumn("late", F.col("dest") < 0)
+    dealt = dealt.repartition(max(n, math.ceil(chars / block_chars)), "block").sortWithinPartitions("block", "late", "dest")
     return dealt.select("block", "dest", "data").mapInArrow(functools.partial(_score, last=history[-1]), _SCORES)
 
 

@@ -81,6 +81,22 @@ def test_bpe_long_rows_that_share_an_id(spark):
     assert sorted(r["n_tokens"] for r in byte_bpe.digests(docs, RANKS, 700, 40).collect()) == sorted(len(whole(t)) // 4 for _, t in rows)
 
 
+def test_bpe_pieces_of_any_text():
+    """Chunks of a few characters: the pieces make up the text, and their ids are the whole text's."""
+    enc, rng = byte_bpe.encoding(RANKS), np.random.default_rng(5)
+    texts = ["", "a", " " * 300, "x" * 300, "1234567890" * 20, "don't  stop\n\n\tnow... " * 20, "日本語テキスト、" * 30, "\r\n \u2028é\u0301" * 40]
+    texts += ["".join(rng.choice(list("ab1 .,'\n\té日\u200d🙂-  "), 400)) for _ in range(60)]
+    n_pieces = 0
+    for text in texts:
+        for chunk, overlap in ((16, 6), (40, 40), (97, 1)):
+            pieces = byte_bpe.stitched(text, chunk, overlap)
+            n_pieces += len(pieces)
+            ids = byte_bpe.encode_bytes(enc, text, chunk, overlap)
+            assert "".join(pieces) == text and ids == np.asarray(enc.encode_ordinary(text), "<u4").tobytes()
+            assert byte_bpe.decode_ids(enc, ids) == text.encode()
+    assert n_pieces > 20 * len(texts)
+
+
 # --- 1: packing
 
 
@@ -556,27 +572,88 @@ def test_chat_collapse(spark):
 def test_scores_sum_to_one():
     """Over all entries of a context the predictive probabilities, with the unknown word's, add up to one."""
     rng = np.random.default_rng(0)
-    words, contexts = rng.integers(1, 60, 4_000).astype(np.uint64), rng.choice(np.array([1, 2, 65, 66], np.uint64), 4_000)
-    entries = np.array([w << np.uint64(12) | c for w in range(1, 60) for c in (1, 2, 65, 66) for w, c in [(np.uint64(w), np.uint64(c))]], np.uint64)
-    entries.sort()
-    keys, n = np.unique(words << np.uint64(12) | contexts, return_counts=True)
+    bits, upper_shift = np.uint64(pitman_yor.CONTEXT_BITS), pitman_yor.LOWER_BITS
+    four = np.array([1, 2, (1 << upper_shift) + 1, (1 << upper_shift) + 2], np.uint64)
+    words, contexts = rng.integers(1, 60, 4_000).astype(np.uint64), rng.choice(four, 4_000)
+    entries = np.sort(np.array([np.uint64(w) << bits | c for w in range(1, 60) for c in four], np.uint64))
+    keys, n = np.unique(words << bits | contexts, return_counts=True)
     counts = np.zeros(len(entries), np.int64)
     counts[np.searchsorted(entries, keys)] = n
     history = []
     for _ in range(3):
         seating = None
-        row = {"entries": pitman_yor._pack(entries), "counts": pitman_yor._pack(counts), "dest": 0}
+        row = {"entries": pitman_yor._pack_ascending(entries), "counts": pitman_yor._pack(counts), "dest": 0}
         for _, seating in pitman_yor._seated(row, history):  # noqa: B007
             pass
-        found = [dict(zip(("level", "context", "customers", "tables", "ones", "twos"), (*k, *v))) for k, v in seating.totals().items()]
-        history.append(pitman_yor.Totals(found, history[0].discount if history else None))
+        sums, extras = np.zeros((2, sum(pitman_yor.SIZES)), np.int64), np.zeros(8, np.int64)
+        seating.add_totals(sums, extras)
+        found = [{"slice": k, "data": pitman_yor._pack(sums[:, k * pitman_yor.SLICE : (k + 1) * pitman_yor.SLICE].ravel())} for k in range(-(-sums.shape[1] // pitman_yor.SLICE))]
+        history.append(pitman_yor.Totals([*found, {"slice": -1, "data": pitman_yor._pack(extras)}], history[0] if history else None))
     p = seating.probabilities(history[-1])[2]
     g, d, s = history[-1], history[-1].discount, pitman_yor.STRENGTH
-    for c in (1, 2, 65, 66):
+    for c in four.astype(int):
         p0 = (s[0] + d[0] * g.tables[0][0]) * g.base / (s[0] + g.customers[0][0])
-        p1 = (s[1] + d[1] * g.tables[1][c >> 6]) * p0 / (s[1] + g.customers[1][c >> 6])
+        p1 = (s[1] + d[1] * g.tables[1][c >> upper_shift]) * p0 / (s[1] + g.customers[1][c >> upper_shift])
         unknown = (s[2] + d[2] * g.tables[2][c]) * p1 / (s[2] + g.customers[2][c])
-        assert abs(p[(entries & np.uint64(4095)) == c].sum() + unknown - 1) < 1e-9
+        assert abs(p[(entries & pitman_yor.CONTEXT_MASK) == c].sum() + unknown - 1) < 1e-5
+
+
+def test_seating_is_the_chinese_restaurants():
+    """Mean tables of many restaurants against customers seated one by one."""
+    rng = np.random.default_rng(3)
+    for count, new, d in ((5, 0.4, 0.3), (60, 2.0, 0.7), (100, 0.05, 0.9)):
+        plain = []
+        for _ in range(3_000):
+            t = 1
+            for j in range(1, count):
+                t += rng.random() < new / (j - d * t + new)
+            plain.append(t)
+        drawn = pitman_yor.seat(np.full(3_000, count), np.full(3_000, new), d, rng)
+        assert abs(drawn.mean() - np.mean(plain)) < 5 * np.std(plain) / 3_000**0.5 + 0.02
+
+
+def test_lm_score_against_plain_counts(docs):
+    """Before the first sweep each dish has one table, so a score follows from counts in dictionaries."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    some = docs.where("doc_id % 2 = 0")
+    rows = {r["doc_id"]: r["score"] for r in pitman_yor.score(some, ~held, sweeps=0, block_chars=50_000).collect()}
+    tokens, learned = {}, {}
+    for r in some.collect():
+        keys = pitman_yor.token_keys(r["text"] or "").tolist()
+        mask, shift = int(pitman_yor.CONTEXT_MASK), pitman_yor.LOWER_BITS
+        tokens[r["doc_id"]] = [(k >> pitman_yor.CONTEXT_BITS, k & mask, (k & mask) >> shift) for k in keys]
+        if zlib.crc32(str(r["doc_id"]).encode()) % 10:
+            for t in tokens[r["doc_id"]]:
+                learned[t] = learned.get(t, 0) + 1
+    c1, c0 = {}, {}
+    for w, _, u in learned:
+        c1[w, u] = c1.get((w, u), 0) + 1
+    for w, _ in c1:
+        c0[w] = c0.get(w, 0) + 1
+    by = {2: {}, 1: {}, 0: {0: [0, 0]}}
+    for level, counts, of in ((2, learned, lambda x: x[1]), (1, c1, lambda x: x[1]), (0, c0, lambda x: 0)):
+        for x, n in counts.items():
+            at = by[level].setdefault(of(x), [0, 0])
+            at[0] += n
+            at[1] += 1
+    d = []
+    for counts in (c0, c1, learned):
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        d.append(min(0.95, max(0.05, ones / (ones + 2 * twos))))
+    s, base = pitman_yor.STRENGTH, 1 / (len(c0) + 1)
+
+    def p(w, c, u):
+        n, t = by[0][0]
+        p0 = (max(0, c0.get(w, 0) - d[0]) + (s[0] + d[0] * t) * base) / (s[0] + n)
+        n, t = by[1].get(u, (0, 0))
+        p1 = (max(0, c1.get((w, u), 0) - d[1]) + (s[1] + d[1] * t) * p0) / (s[1] + n)
+        n, t = by[2].get(c, (0, 0))
+        return (max(0, learned.get((w, c, u), 0) - d[2]) + (s[2] + d[2] * t) * p1) / (s[2] + n)
+
+    assert rows.keys() == tokens.keys()
+    for i, ts in tokens.items():
+        want = sum(math.log10(p(*t)) for t in ts)
+        assert abs(rows[i] - want) <= 1e-5 * abs(want)
 
 
 def test_lm_counts_and_gain(docs):
