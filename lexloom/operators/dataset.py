@@ -101,10 +101,8 @@ def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
 
 def legacy_prompt_render(spark: SparkSession, sf: str) -> DataFrame:
     n = V.nodes(spark, sf).where("type = 'Phrase'")
-    s = V.nodes(spark, sf).where("type = 'Sentence'").select("seq", F.col("content").alias("sentence"))
-    j = n.join(s, "seq")
     prompt = F.concat(F.lit("pos: "), F.array_join("pos", ", "), F.lit(" dep: "), F.array_join("dep", ", "), F.lit(" sentence: "), "sentence", F.lit(" chunk: "), "content")
-    return j.select("seq", "preorder", F.sha2(prompt, 256).alias("prompt_sha256"))
+    return n.select("seq", "preorder", F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
 def schema_shape_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,13 +201,13 @@ def level_tam_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def target_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.examples(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("input").alias("unique_targets"))
+    s = V.examples(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.countDistinct(T.norm_key("target")).alias("unique_targets"))
     return s.withColumn("duplicate_ratio", F.round(1 - F.col("unique_targets") / F.col("total"), 6))
 
 
 def target_topk(spark: SparkSession, sf: str) -> DataFrame:
-    g = V.examples(spark, sf).groupBy("input").agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("first"))
-    return g.orderBy(F.desc("count"), "first").limit(15).select(F.col("input").alias("target"), "count")
+    g = V.examples(spark, sf).groupBy(T.norm_key("target").alias("target")).agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("first"))
+    return g.orderBy(F.desc("count"), "first").limit(15).select("target", "count")
 
 
 def quality_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,8 +273,8 @@ ORACLES = {
     "count_by_level": V.sql(V.EXAMPLES, "SELECT level, count(*) AS n FROM examples GROUP BY level"),
     "level_tam_matrix": V.sql(V.EXAMPLES, "SELECT level, tam_bucket, count(*) AS n FROM examples GROUP BY ALL"),
     "level_tam_cube": V.sql(V.EXAMPLES, "SELECT level, tam_bucket, count(*) AS n, CAST(grouping_id(level, tam_bucket) AS BIGINT) AS g FROM examples GROUP BY CUBE (level, tam_bucket)"),
-    "target_stats": V.sql(V.EXAMPLES, "SELECT count(*) AS total, count(DISTINCT input) AS unique_targets, round(1 - count(DISTINCT input) / count(*), 6) AS duplicate_ratio FROM examples"),
-    "target_topk": V.sql(V.EXAMPLES, "SELECT input AS target, count(*) AS count FROM examples GROUP BY input ORDER BY count(*) DESC, min(seq) LIMIT 15"),
+    "target_stats": V.sql(V.EXAMPLES, "SELECT count(*) AS total, count(DISTINCT lower(target)) AS unique_targets, round(1 - count(DISTINCT lower(target)) / count(*), 6) AS duplicate_ratio FROM examples"),
+    "target_topk": V.sql(V.EXAMPLES, "SELECT lower(target) AS target, count(*) AS count FROM examples GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 15"),
     "quality_gates": V.sql(V.EXAMPLES, """, g AS (SELECT target, count(*) AS n FROM examples GROUP BY target)
       SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique, count(*) FILTER (target <> 'none') AS active, count(*) < 20 AS fails_unique, max(n) / sum(n) > 0.3 AS fails_top1, count(*) FILTER (target <> 'none') < 15 AS fails_active, CAST(round(max(n) / sum(n), 6) AS DOUBLE) AS top1_share FROM g""").replace("AS unique,", 'AS "unique",'),
     "feedback_mix_weighted": V.sql(V.EXAMPLES, "SELECT level, target, count(*) * CASE WHEN level = 'Word' THEN 3 ELSE 1 END AS n FROM examples GROUP BY level, target"),

@@ -71,16 +71,6 @@ def cefr_qc_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("anomaly_rate", _share(F.col("anomalies"), F.col("nodes")))
 
 
-def enrichment_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each enrichment field the nodes that have it, lack it, or hold a bad value."""
-    n = V.nodes(spark, sf)
-    k = F.col("seq") + F.col("preorder")
-    fields = F.array(*[
-        F.struct(F.lit(name).alias("field"), F.when(k % m == 0, "missing").when(k % m == 1, "invalid").otherwise("valid").alias("state")) for name, m in (("translation", 5), ("phonetic", 7), ("synonyms", 11), ("cefr_level", 13))
-    ])
-    return n.select(F.inline(fields)).groupBy("field", "state").agg(F.count(F.lit(1)).alias("n"))
-
-
 def regression(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """One row per check of two one-row reports, and whether it passed; a missing metric counts as 0."""
     metrics = [m for m, _ in CHECKS]
@@ -133,7 +123,7 @@ def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.round(F.avg(rouge("prediction", "label")), 6).alias("rouge_l"), F.avg(F.size(F.split(F.trim("prediction"), r"\s+"))).alias("gen_len"))
 
 
-QUERIES = {f.__name__: f for f in (note_qc_probe, note_qc_aggregate, cefr_qc_probe, cefr_qc_aggregate, enrichment_coverage, feedback_regression_checks, exact_match, rouge_l)}
+QUERIES = {f.__name__: f for f in (note_qc_probe, note_qc_aggregate, cefr_qc_probe, cefr_qc_aggregate, feedback_regression_checks, exact_match, rouge_l)}
 
 _PROBE = SELECTED + """,
 probes AS (SELECT seq // 100000 AS doc_id, count(*) AS nodes, count(template_id) AS model_notes, count(*) - count(template_id) AS fallback_notes, count(*) FILTER (refused > 0) AS rejected_nodes,
@@ -149,8 +139,6 @@ ORACLES = {
     "note_qc_aggregate": V.sql(_PROBE, _AGG("")),
     "cefr_qc_probe": V.sql(_CEFR, "SELECT * FROM cefr"),
     "cefr_qc_aggregate": V.sql(_CEFR, "SELECT count(*) AS probes, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(function_word + above_sentence + above_parent) AS BIGINT) AS anomalies, CAST(round(sum(function_word + above_sentence + above_parent) / sum(nodes), 6) AS DOUBLE) AS anomaly_rate FROM cefr"),
-    "enrichment_coverage": V.sql(V.NODES, """, f(field, m) AS (VALUES ('translation', 5), ('phonetic', 7), ('synonyms', 11), ('cefr_level', 13))
-      SELECT field, CASE (seq + preorder) % m WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid' ELSE 'valid' END AS state, count(*) AS n FROM nodes, f GROUP BY 1, 2"""),
     "feedback_regression_checks": V.sql(_PROBE, f""", b AS ({_AGG('WHERE doc_id % 2 = 0')}), c AS ({_AGG('WHERE doc_id % 2 = 1')})
       SELECT 'accepted_rate' AS "check", b.accepted_rate AS baseline, c.accepted_rate AS candidate, c.accepted_rate >= b.accepted_rate AS passed FROM b, c UNION ALL SELECT 'fallback_rate', b.fallback_rate, c.fallback_rate, c.fallback_rate <= b.fallback_rate FROM b, c
       UNION ALL SELECT 'rejected_nodes', b.rejected_nodes::DOUBLE, c.rejected_nodes::DOUBLE, c.rejected_nodes <= b.rejected_nodes FROM b, c UNION ALL SELECT 'mismatch_rate', b.mismatch_rate, c.mismatch_rate, c.mismatch_rate <= b.mismatch_rate FROM b, c

@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per node: seq, preorder, parent, depth, type, content, n_words, toks, pos, tag, dep, tam (bucket).
+    """One row per node: seq, sentence (its text), preorder, parent, depth, type, content, n_words, toks, pos, tag, dep, tam (bucket).
 
     Phrases and words are slices of the sentence row's arrays, made in one pass: no shuffle, one scan.
     """
@@ -79,10 +79,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.transform(
         F.arrays_zip(*lists), lambda x, i: node(F.floor(i / PHRASE_TOKENS) * step + 2 + i % PHRASE_TOKENS, F.floor(i / PHRASE_TOKENS) * step + 1, 2, "Word", [F.array(x[c]) for c in lists])
     )
-    every = tagged_sentences(spark, sf_dir).select("doc_id", "seq", F.inline(F.concat(F.array(sentence), phrases, words)))
+    every = tagged_sentences(spark, sf_dir).select("doc_id", "seq", F.array_join("toks", " ").alias("sentence"), F.inline(F.concat(F.array(sentence), phrases, words)))
     modal = F.exists("toks", lambda x: x.isin(*MODALS))
     tam = F.when(modal & F.array_contains("toks", "have"), "modal_perfect").when(F.array_contains("toks", "had"), "past_perfect").otherwise("none")
-    return every.select("doc_id", "seq", "preorder", "parent", "depth", "type", F.array_join("toks", " ").alias("content"), F.size("toks").alias("n_words"), *lists, tam.alias("tam"))
+    return every.select("doc_id", "seq", "sentence", "preorder", "parent", "depth", "type", F.array_join("toks", " ").alias("content"), F.size("toks").alias("n_words"), *lists, tam.alias("tam"))
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
