@@ -20,7 +20,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +35,7 @@ from pyspark.sql import window as W
 
 from .common import batch_of, partitions, small_slices, table, texts_of
 
-CHUNK = 1_024
+CHUNK = 2_048
 SPREAD = 32_768
 OVERLAP = 128
 
@@ -51,21 +53,26 @@ def decode_ids(enc: tiktoken.Encoding, ids: bytes) -> bytes:
 
 #: A cut may follow any pre-token that does not end in white space.
 _SPACE = regex.compile(r"\s")
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
-def boundaries(text: str, from_pos: int, to_pos: int) -> list[int]:
-    """Safe cut positions found by pre-tokenising text, within [from_pos, to_pos)."""
-    return [
-        m.end()
-        for m in regex.finditer(public_tokenizers.PATTERN, text)
-        if from_pos <= m.end() < to_pos and not _SPACE.match(text[m.end() - 1])
-    ]
+def ends(text: str) -> list[int]:
+    """Where the text's pre-tokens end."""
+    found = [*accumulate(map(len, _PATTERN.findall(text)))]
+    # Matches that leave characters out, or a pattern with groups, need the slower way.
+    return found if not text or found and found[-1] == len(text) else [m.end() for m in _PATTERN.finditer(text)]
+
+
+def boundaries(text: str, from_pos: int, to_pos: int, at: list[int] | None = None) -> list[int]:
+    """Safe cut positions found by pre-tokenising text, within [from_pos, to_pos); at: the ends, if known."""
+    at = ends(text) if at is None else at
+    return [e for e in at[bisect_left(at, from_pos) : bisect_left(at, to_pos)] if not _SPACE.match(text[e - 1])]
 
 
 def seams(text: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
     """Of a chunk with its overlap: the safe cuts in the stretch shared with the chunk before, and those shared with the next, counted from where that begins."""
-    cuts = boundaries(text, 0, len(text))
-    return [c for c in cuts if c < overlap], [c - chunk for c in cuts if chunk <= c < chunk + overlap and c < len(text)]
+    at = ends(text)
+    return boundaries(text, 1, overlap, at), [c - chunk for c in boundaries(text, chunk, min(chunk + overlap, len(text)), at)]
 
 
 def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
@@ -83,7 +90,10 @@ def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]
 
 def encode_bytes(enc: tiktoken.Encoding, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
     """The ids of the text's pieces, one after the other."""
-    return b"".join([np.asarray(enc.encode_ordinary(piece), dtype="<u4").tobytes() for piece in stitched(text, chunk, overlap)])
+    ids: list[int] = []
+    for piece in stitched(text, chunk, overlap):
+        ids += enc.encode_ordinary(piece)
+    return np.asarray(ids, dtype="<u4").tobytes()
 
 
 _CUTS = "part string, k int, text string, head array<int>, tail array<int>"
