@@ -275,6 +275,24 @@ class Totals:
         # The usual estimate from dishes with one and with two customers, kept from the first totals on.
         self.discount = before.discount if before else tuple(float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in zip(extras[2:5], extras[5:8]))
         self.base = 1 / (self.words + 1)
+        self.first = before is None
+
+    def __getstate__(self) -> dict:
+        """Packed: most contexts of a small corpus are empty, and those of the lower level keep their customers."""
+        arrays = [*self.customers[: 3 if self.first else 2], *self.tables]
+        return self.__dict__ | {"customers": len(arrays) - 3, "tables": [_pack(x.astype(np.uint64)) for x in arrays]}
+
+    def __setstate__(self, state: dict) -> None:
+        arrays = [_unpack(x, np.uint64).astype(np.float32) for x in state["tables"]]
+        self.__dict__.update(state | {"customers": arrays[: state["customers"]], "tables": arrays[state["customers"] :]})
+
+
+def _past(history: list) -> list[Totals]:
+    """The totals that broadcasts hold, one each."""
+    past = [h.value for h in history]
+    for g in past[1:]:
+        g.customers[2:] = past[0].customers[2:]
+    return past
 
 
 _TOTALS = "slice int, data binary"
@@ -292,11 +310,11 @@ def _seated(row: dict, history: list[Totals]) -> Iterator[tuple[int, Seating]]:
 
 def _sum_totals(batches: Iterator[pa.RecordBatch], history) -> Iterator[pa.RecordBatch]:
     """The task's sums of totals, in slices that are not all zero."""
-    sums, extras = np.zeros((2, sum(SIZES)), np.int64), np.zeros(8, np.int64)
+    sums, extras, past = np.zeros((2, sum(SIZES)), np.int64), np.zeros(8, np.int64), _past(history)
     for batch in batches:
         for row in batch.to_pylist():
             seating = None
-            for _, seating in _seated(row, history.value):  # noqa: B007
+            for _, seating in _seated(row, past):  # noqa: B007
                 pass
             seating.add_totals(sums, extras)
     if extras.any() or sums.any():
@@ -325,7 +343,7 @@ _MODELLED = "block long, dest int, data array<binary>"
 def _average(batches: Iterator[pa.RecordBatch], history, burn_in: int) -> Iterator[pa.RecordBatch]:
     """Averaged predictive probabilities and training counts of each block's entries in the range."""
     schema = pa.schema([("block", pa.int64()), ("dest", pa.int32()), ("data", pa.list_(pa.binary()))])
-    totals: list[Totals] = history.value
+    totals = _past(history)
     for batch in batches:
         for row in batch.to_pylist():
             p, n = 0.0, 0
@@ -343,7 +361,7 @@ def _average(batches: Iterator[pa.RecordBatch], history, burn_in: int) -> Iterat
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], last: Totals) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], tokens: int, words: int) -> Iterator[pa.RecordBatch]:
     """Rows by block, its modelled entries by range before its texts."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -362,10 +380,10 @@ def _score(batches: Iterator[pa.RecordBatch], last: Totals) -> Iterator[pa.Recor
                 raise RuntimeError("the documents came in another order in the second pass; write them to a table first")
             starts = np.cumsum(n) - n
             sum_of = lambda x: np.add.reduceat(x[index], starts)
-            base = np.log10((c + 0.1) / (last.tokens + 0.1 * (last.words + 1)))
+            base = np.log10((c + 0.1) / (tokens + 0.1 * (words + 1)))
             out = {
                 "doc_id": pa.array(ids, mask=ids == NO_ID), "held_out": ~train, "n_tokens": n.astype(np.int64), "n_known": sum_of((c > 0).astype(np.int64)),
-                "train_tokens": np.full(len(ids), last.tokens, np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p.astype(np.float64))),
+                "train_tokens": np.full(len(ids), tokens, np.int64), "base_score": sum_of(base), "score": sum_of(np.log10(p.astype(np.float64))),
             }
             for at in range(0, len(ids), 8192):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name][at : at + 8192], type=f.type) for f in schema], schema=schema)
@@ -383,18 +401,17 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, burn_in: int = BURN_IN,
     encode = functools.partial(_encode, ranges=ranges, block_chars=block_chars)
     entries = rows.mapInArrow(functools.partial(encode, texts=False), _ENCODED)
     merged = stored(entries.repartition(max(n, ranges // 4), "dest").sortWithinPartitions("dest", "block").mapInArrow(_merge, _MERGED))
-    history: list[Totals] = []
+    history, shared = [], []
     for _ in range(sweeps + 1):
-        shared = spark.sparkContext.broadcast(list(history))
-        sums = merged.select("dest", "entries", "counts").mapInArrow(functools.partial(_sum_totals, history=shared), _TOTALS)
+        sums = merged.select("dest", "entries", "counts").mapInArrow(functools.partial(_sum_totals, history=list(shared)), _TOTALS)
         # 65 slices and a row of sums: a proven bound.
         found = sums.repartition(min(n, 64), "slice").sortWithinPartitions("slice").mapInArrow(_add, _TOTALS).collect()
         history.append(Totals(found, history[0] if history else None))
-    shared = spark.sparkContext.broadcast(history)
+        shared.append(spark.sparkContext.broadcast(history[-1]))
     modelled = merged.mapInArrow(functools.partial(_average, history=shared, burn_in=burn_in), _MODELLED)
     dealt = modelled.unionByName(rows.mapInArrow(functools.partial(encode, texts=True), _ENCODED)).withColumn("late", F.col("dest") < 0)
     dealt = dealt.repartition(max(n, math.ceil(chars / block_chars)), "block").sortWithinPartitions("block", "late", "dest")
-    return dealt.select("block", "dest", "data").mapInArrow(functools.partial(_score, last=history[-1]), _SCORES)
+    return dealt.select("block", "dest", "data").mapInArrow(functools.partial(_score, tokens=history[-1].tokens, words=history[-1].words), _SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
