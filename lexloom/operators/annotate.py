@@ -159,6 +159,7 @@ def _pick(column: str, values: dict[str, str], otherwise: str = "") -> str:
 
 
 _TENSED = "coalesce(tense, '') NOT IN ('', 'null')"
+#: The same in SQL.
 FALLBACK = f"""CASE type WHEN 'Sentence' THEN CASE WHEN {_TENSED} THEN {_said(SENTENCE_TENSE)} ELSE {_said(SENTENCE_PLAIN)} END
   WHEN 'Phrase' THEN CASE WHEN part_of_speech LIKE '%noun phrase%' AND lead IN ('a', 'an', 'the') THEN {_said(PHRASE_NOTES['determiner'])} WHEN part_of_speech LIKE '%noun phrase%' THEN {_said(PHRASE_NOTES['noun phrase'])}
     WHEN part_of_speech LIKE '%verb phrase%' AND {_TENSED} THEN {_said(PHRASE_NOTES['tense'])} WHEN part_of_speech LIKE '%verb phrase%' THEN {_said(PHRASE_NOTES['verb phrase'])} WHEN part_of_speech LIKE '%prepositional phrase%' THEN {_said(PHRASE_NOTES['prepositional phrase'])} ELSE {_said(PHRASE_NOTES['other'])} END
@@ -184,6 +185,40 @@ KIND = (
 ).replace("LIKE 'WORD\\_%' {esc}", "LIKE 'WORD%'")
 
 
+def _looked_up(values: dict[str, str], key: Column) -> Column:
+    """A wording by its key: one literal map, however many wordings there are."""
+    return F.try_element_at(notes.literal_map(values), key)
+
+
+def filled(wording: Column) -> Column:
+    """A wording with the node's text, tense and number of words in their places."""
+    out = F.replace(wording, F.lit("{content}"), F.col("content"))
+    return F.replace(F.replace(out, F.lit("{tense}"), F.coalesce("tense", F.lit(""))), F.lit("{count}"), F.col("n_words").cast("string"))
+
+
+def fallback_note() -> Column:
+    """A rule-made note from type, class, tense and text."""
+    kind, pos = F.col("type"), F.col("part_of_speech")
+    tensed, low = ~F.coalesce("tense", F.lit("")).isin("", "null"), F.lower("content")
+    has = lambda name: F.contains(pos, F.lit(name))
+    which = (
+        F.when(has("noun phrase") & F.col("lead").isin("a", "an", "the"), "determiner").when(has("noun phrase"), "noun phrase").when(has("verb phrase") & tensed, "tense").when(has("verb phrase"), "verb phrase")
+        .when(has("prepositional phrase"), "prepositional phrase").otherwise("other")
+    )
+    own = F.when(pos == "article", _looked_up(ARTICLE_NOTES, low)).when(pos == "verb", _looked_up(VERB_NOTES, F.coalesce("tense", F.lit("")))).when(pos == "preposition", _looked_up(PREPOSITION_NOTES, low))
+    word = F.coalesce(own, _looked_up(WORD_NOTES, pos), F.lit(WORD_OTHER))
+    sentence = F.when(tensed, SENTENCE_TENSE).otherwise(SENTENCE_PLAIN)
+    return filled(F.when(kind == "Sentence", sentence).when(kind == "Phrase", _looked_up(PHRASE_NOTES, which)).when(kind == "Word", word).otherwise(OTHER_NOTE))
+
+
+def rendered_note() -> Column:
+    """The wording of template_id that `variant` chooses; a finite clause in the modal perfect has wordings of its own."""
+    pick = lambda xs: F.get(xs, F.pmod(F.col("variant"), F.size(xs)).cast("int"))
+    wordings = F.try_element_at(F.create_map(*[x for t, vs in TEMPLATE_VARIANTS.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in vs]))]), F.col("template_id"))
+    modal = (F.col("template_id") == "SENTENCE_FINITE_CLAUSE") & (F.col("tam2") == "modal_perfect")
+    return F.replace(F.when(modal, pick(F.array(*[F.lit(v) for v in MODAL_PERFECT_VARIANTS]))).otherwise(pick(wordings)), F.lit("{content}"), F.col("content"))
+
+
 def described(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with what notes read: tense where the class carries one, first token, the first two longer words."""
     d = notes.described(spark, sf)
@@ -197,19 +232,19 @@ TENSE = "CASE WHEN type = 'Word' AND part_of_speech NOT IN ('verb', 'auxiliary v
 
 def fallback_notes(spark: SparkSession, sf: str) -> DataFrame:
     """The rule-made note of every node."""
-    return described(spark, sf).select("seq", "preorder", F.sha2(F.expr(FALLBACK), 256).alias("note_sha256"))
+    return described(spark, sf).select("seq", "preorder", F.sha2(fallback_note(), 256).alias("note_sha256"))
 
 
 def note_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Notes that are valid, by kind.  Rule-made notes repeat: equal ones are counted before they are judged."""
     s = V.sentences(spark, sf).select("text").union(V.read(spark, sf, "benchmark").select("text")).withColumn("n", F.lit(1).cast("long"))
-    made = described(spark, sf).groupBy(F.expr(FALLBACK).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    made = described(spark, sf).groupBy(fallback_note().alias("text")).agg(F.count(F.lit(1)).alias("n"))
     return notes.with_validity(s.union(made), "text").groupBy("valid", "kind").agg(F.sum("n").alias("n"))
 
 
 def note_novelty_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Per sentence: valid fallback notes that are accepted (the first of its text; those of words always) and those that repeat."""
-    n = described(spark, sf).select("seq", (F.col("type") == "Word").alias("word"), F.expr(FALLBACK).alias("note"))
+    n = described(spark, sf).select("seq", (F.col("type") == "Word").alias("word"), fallback_note().alias("note"))
     texts = notes.with_validity(n.groupBy("seq", "word", "note").agg(F.count(F.lit(1)).alias("n")), "note")
     accepted = F.when(F.col("valid"), F.when(F.col("word"), F.col("n")).otherwise(1)).otherwise(0)
     repeated = F.when(F.col("valid") & ~F.col("word"), F.col("n") - 1).otherwise(0)
@@ -231,7 +266,7 @@ def selected(spark: SparkSession, sf: str) -> DataFrame:
     n = n.withColumn("reason", F.when((F.col("level") == notes.LEVEL_NAMES[1]) & F.col("part_of_speech").isin(*TAM_CLASSES), "tam_dropped"))
     mode = F.when(F.col("level") == notes.LEVEL_NAMES[0], "rule_l1_exact").when(F.col("level") == notes.LEVEL_NAMES[1], "rule_l2_drop_tam").when(F.col("level") == notes.LEVEL_NAMES[2], "rule_l3_backoff").otherwise("rule_fallback")
     n = n.withColumn("selection_mode", mode).withColumn("variant", F.conv(F.substring(F.sha2(F.expr(_HASHED), 256), 1, 8), 16, 10).cast("long"))
-    return n.withColumn("note", F.expr(RENDERED)).drop("tries", "pick", "t1", "t2", "t3", "t4")
+    return n.withColumn("note", rendered_note()).drop("tries", "pick", "t1", "t2", "t3", "t4")
 
 
 def template_notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +294,7 @@ def annotated(spark: SparkSession, sf: str, mode: str = "template_only") -> Data
     """
     if mode not in NOTE_MODES:
         raise ValueError(f"unknown note mode {mode}")
-    s = _suits(selected(spark, sf).withColumn("fallback", F.expr(FALLBACK)), "note", "note_suits")
+    s = _suits(selected(spark, sf).withColumn("fallback", fallback_note()), "note", "note_suits")
     exact = F.col("level").isin(*notes.LEVEL_NAMES[:2])
     s = _new(s, F.col("note_suits") if mode == "template_only" else F.when(exact, F.col("note_suits")).otherwise(F.col("note").isNotNull()), "note", "by_template")
     flags = lambda *xs: F.array(*[F.lit(x) for x in xs])

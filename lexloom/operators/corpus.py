@@ -58,20 +58,22 @@ def corpus_dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 def ingest(sentences: DataFrame, sources: list[str], quota: int) -> DataFrame:
     """Source by source: eligible rows, the first of each key not kept from earlier sources, up to the quota; one count row per source.
 
-    The fold is over the few sources only; each step is distributed.  A quota of zero or less still keeps one row.
+    The fold is over the few sources only; each step is distributed, reads its own source's rows, and stores the keys it keeps.
+    A quota of zero or less still keeps one row.
     """
-    kept = None
-    out = None
+    most = max(quota, 1)
+    ok = F.length("text").between(LEAST_CHARS, MOST_CHARS)
+    keyed = V.stored(sentences.where(F.col("source").isin(*sources)).select("source", "seq", ok.alias("ok"), F.when(ok, T.norm_key("text")).alias("key")), "source")
+    kept, out = None, None
     for name in sources:
-        rows = sentences.where(F.col("source") == name)
-        eligible = rows.where(F.length("text").between(LEAST_CHARS, MOST_CHARS)).select("seq", T.norm_key("text").alias("key"))
-        fresh = first_by(eligible, ["key"]) if kept is None else first_by(eligible.join(kept, "key", "left_anti"), ["key"])
+        rows = keyed.where(F.col("source") == name)
+        eligible = rows.where("ok").select("seq", "key")
+        fresh = first_by(eligible if kept is None else eligible.join(kept, "key", "left_anti"), ["key"])
         # A bounded top-k: the quota is a limit that the feature asks for.
-        taken = fresh.orderBy("seq").limit(max(quota, 1))
+        taken = V.stored(fresh.select("seq", "key").orderBy("seq").limit(most))
         stop = taken.agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("kept"))
-        read = rows.crossJoin(F.broadcast(stop)).where((F.col("kept") < max(quota, 1)) | (F.col("seq") <= F.col("last")))
-        short = ~F.length("text").between(LEAST_CHARS, MOST_CHARS)
-        counts = read.agg(F.count(F.lit(1)).alias("read_rows"), F.count_if(short).alias("length_dropped"), F.coalesce(F.max("kept"), F.lit(0)).alias("kept"))
+        read = rows.crossJoin(F.broadcast(stop)).where((F.col("kept") < most) | (F.col("seq") <= F.col("last")))
+        counts = read.agg(F.count(F.lit(1)).alias("read_rows"), F.count_if(~F.col("ok")).alias("length_dropped"), F.coalesce(F.max("kept"), F.lit(0)).alias("kept"))
         counts = counts.select(F.lit(name).alias("source"), "read_rows", "kept", "length_dropped", (F.col("read_rows") - F.col("kept") - F.col("length_dropped")).alias("duplicates"))
         out = counts if out is None else out.unionByName(counts)
         kept = taken.select("key") if kept is None else kept.union(taken.select("key"))
@@ -89,7 +91,9 @@ def corpus_quota_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_fold_across_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest(V.sentences(spark, sf), ["src0", "src1", "src2"], 50)
+    """All sources in the order of their names, quota 50."""
+    names = [r["source"] for r in V.read(spark, sf, "documents").select("source").where("source is not null").distinct().orderBy("source").collect()]
+    return ingest(V.sentences(spark, sf), names, 50)
 
 
 def source_contribution_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +145,23 @@ QUERIES = {f.__name__: f for f in (
     corpus_fold_across_sources, source_contribution_rank, ingestion_quality_report, level_records_projection, level_quota_extract, tokenize_words, token_topk,
 )}
 
+_FOLD_SOURCES = tuple(sorted(f"src{i}" for i in range(20)))
+
+
+def _sql_fold() -> str:
+    steps, seen = [], "SELECT NULL AS key WHERE false"
+    for k, name in enumerate(_FOLD_SOURCES):
+        steps.append(f"t{k} AS MATERIALIZED (SELECT key, min(seq) AS seq FROM keyed WHERE source = '{name}' AND ok AND key NOT IN ({seen}) GROUP BY key ORDER BY min(seq) LIMIT 50)")
+        seen = f"{seen} UNION ALL SELECT key FROM t{k}"
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS source, count(*) AS read_rows, coalesce(max(n), 0) AS kept, count(*) FILTER (NOT ok) AS length_dropped, count(*) - coalesce(max(n), 0) - count(*) FILTER (NOT ok) AS duplicates FROM keyed, (SELECT max(seq) AS last, count(*) AS n FROM t{k}) WHERE source = '{name}' AND (n < 50 OR seq <= last) HAVING count(*) > 0"
+        for k, name in enumerate(_FOLD_SOURCES)
+    )
+    return V.sql(V.SENTENCES, f", keyed AS MATERIALIZED (SELECT source, seq, length(text) BETWEEN {LEAST_CHARS} AND {MOST_CHARS} AS ok, lower(text) AS key FROM sentences), " + ", ".join(steps) + " " + rows)
+
+
 ORACLES = {
+    "corpus_fold_across_sources": _sql_fold(),
     "text_normalize": r"SELECT printf('sent_%07d', doc_id) AS id, t AS text, 'unknown' AS cefr_level FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) WHERE t <> ''",
     "scan_jsonl_default_ids": r"""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'own_' || doc_id ELSE source || '_' || printf('%07d', line) END AS id
       FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line FROM documents) WHERE trim(text) <> ''""",

@@ -105,15 +105,6 @@ def legacy_prompt_render(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("seq", "preorder", F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
-def schema_shape_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Items with typed notes, with legacy strings, with both or neither, and the label of the whole."""
-    s = V.sentences(spark, sf)
-    new, old = F.col("sent_idx") % 3 != 2, F.col("sent_idx") % 3 == 2
-    counts = s.agg(F.count_if(new).alias("new_items"), F.count_if(old).alias("legacy_items"), F.count(F.lit(1)).alias("total"))
-    label = F.when((F.col("new_items") > 0) & (F.col("legacy_items") > 0), "mixed").when(F.col("new_items") > 0, "new").when(F.col("legacy_items") > 0, "legacy").otherwise("unknown")
-    return counts.withColumn("label", label)
-
-
 def deduplicated(e: DataFrame) -> DataFrame:
     """First row of each (input, target key) in order."""
     keyed = e.withColumn("key", T.norm_key("target"))
@@ -231,7 +222,7 @@ def feedback_mix_weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    template_id_classify, template_target_render, reference_note_variant, target_sanitize_reason, hard_rule_filter, prompt_render, legacy_prompt_render, schema_shape_counts, dedup_exact_pairs,
+    template_id_classify, template_target_render, reference_note_variant, target_sanitize_reason, hard_rule_filter, prompt_render, legacy_prompt_render, dedup_exact_pairs,
     cap_per_target, dedup_cap_report, balance_level_tam, split_train_dev_test, split_sizes, bootstrap_per_stratum, count_by_level, level_tam_matrix, level_tam_cube, target_stats, target_topk,
     quality_gates, feedback_mix_weighted,
 )}
@@ -257,8 +248,6 @@ ORACLES = {
       ELSE 'task: write a note level: ' || lower(type) || ' text: ' || content || ' pos: ' || replace(array_to_string(pos, ', '), '|', ':') || ' dep: ' || replace(array_to_string(dep, ', '), '|', ':') || ' tam: ' || tam END) AS prompt_sha256 FROM nodes"""),
     "legacy_prompt_render": V.sql(V.NODES, """SELECT n.seq, CAST(n.preorder AS INTEGER) AS preorder, sha256('pos: ' || array_to_string(n.pos, ', ') || ' dep: ' || array_to_string(n.dep, ', ') || ' sentence: ' || s.content || ' chunk: ' || n.content) AS prompt_sha256
       FROM nodes n JOIN nodes s ON n.seq = s.seq AND s.type = 'Sentence' WHERE n.type = 'Phrase'"""),
-    "schema_shape_counts": V.sql(V.SENTENCES, """, c AS (SELECT count(*) FILTER (sent_idx % 3 <> 2) AS new_items, count(*) FILTER (sent_idx % 3 = 2) AS legacy_items, count(*) AS total FROM sentences)
-      SELECT *, CASE WHEN new_items > 0 AND legacy_items > 0 THEN 'mixed' WHEN new_items > 0 THEN 'new' WHEN legacy_items > 0 THEN 'legacy' ELSE 'unknown' END AS label FROM c"""),
     "dedup_exact_pairs": V.sql(_DEDUP, "SELECT seq, input, target FROM dedup"),
     "cap_per_target": V.sql(_CAP, "SELECT seq, target, CAST(k AS INTEGER) AS rank FROM caps WHERE k <= 20"),
     "dedup_cap_report": V.sql(_CAP, """, kept AS (SELECT input, target FROM caps WHERE k <= 20), c AS (SELECT count(*) AS total, (SELECT count(*) FROM kept) AS kept FROM examples), x AS (SELECT count(*) AS n FROM examples JOIN kept USING (input, target))

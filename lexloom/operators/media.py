@@ -121,6 +121,8 @@ ORACLES = {
     "timeline_cumulative": V.sql(_TIMELINE, "SELECT doc_id, sent_idx, start_ms, start_ms + ms AS end_ms FROM timeline"),
     "semantic_units": V.sql(_TIMELINE, r""", u AS (SELECT doc_id, start_ms, ms, regexp_extract_all(text, '[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]') AS us FROM timeline), f AS (SELECT doc_id, start_ms, ms, len(us) AS n, unnest(us) AS unit, generate_subscripts(us, 1) AS id FROM u)
       SELECT doc_id, CASE WHEN regexp_full_match(unit, '[0-9]+') THEN 'number' WHEN regexp_full_match(unit, '[A-Za-z]+') THEN 'word' ELSE 'symbol' END AS kind, count(*) AS n, CAST(max(id) AS INTEGER) AS last_id, max(round((start_ms + (id - 1) * (greatest(ms, 1) / n)) / 1000, 3)) AS last_start FROM f GROUP BY 1, 2"""),
+    "interval_cover": V.sql(V.SENTENCES, """, sp AS MATERIALIZED (SELECT doc_id, sent_idx * 10 AS a, CAST(sent_idx * 10 + length(text) % 25 + 1 AS INTEGER) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx * 10, sent_idx * 10 + length(text) % 25 + 1) AS k FROM sentences),
+      RECURSIVE_WALK""").replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_WALK", "w AS (SELECT doc_id, k, b AS e, 1 AS taken, 0 AS gap FROM sp WHERE k = 1 UNION ALL SELECT w.doc_id, sp.k, CASE WHEN sp.a >= e THEN sp.b ELSE e END, CASE WHEN sp.a >= e THEN taken + 1 ELSE taken END, CASE WHEN sp.a >= e THEN gap + sp.a - e ELSE gap END FROM w JOIN sp ON sp.doc_id = w.doc_id AND sp.k = w.k + 1) SELECT doc_id, arg_max(taken, k) AS taken, arg_max(gap, k) AS gap FROM w GROUP BY doc_id"),
     "srt_render": V.sql(_TIMELINE, f""", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS n FROM (SELECT * FROM timeline WHERE sent_idx % 10 <> 9 AND trim(text) <> ''))
       SELECT doc_id, count(*) AS cues, sha256(string_agg(n || chr(10) || {_SRT('start_ms')} || ' --> ' || {_SRT('start_ms + ms')} || chr(10) || trim(text) || chr(10), chr(10) ORDER BY sent_idx)) AS srt_sha256 FROM b GROUP BY doc_id"""),
 }

@@ -1,4 +1,4 @@
-"""Quality control: probe and aggregate reports, coverage, regression checks, text metrics."""
+"""Quality control: reports of levels, text metrics."""
 
 from __future__ import annotations
 
@@ -10,81 +10,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..plans import views as V
-from .grammar import CALIBRATED, calibrated
-from .notes import SELECTED, selected
-
-#: Checks of a candidate against a baseline: metric, and whether more is better.
-CHECKS = (("accepted_rate", True), ("fallback_rate", False), ("rejected_nodes", False), ("mismatch_rate", False))
-
+from .grammar import CALIBRATED, LEVELS, calibrated
 
 def _share(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part / whole).otherwise(0.0), 6)
 
 
-def note_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Per document (the probe): nodes, notes by template, back-off by level."""
-    s = selected(spark, sf).withColumn("doc_id", F.floor(F.col("seq") / 100_000))
-    level = lambda x: F.count_if(F.col("level") == x)
-    return s.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("template_id").isNotNull()).alias("model_notes"), F.count_if(F.col("template_id").isNull()).alias("fallback_notes"), F.count_if(F.col("refused") > 0).alias("rejected_nodes"),
-        level("L1_EXACT").alias("l1"), level("L2_DROP_TAM").alias("l2"), level("L3_LEVEL_POS").alias("l3"), level("L4_FALLBACK").alias("l4"),
-    )
-
+def _level_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document (the probe): valid and invalid levels, the three anomalies, nodes by level.
 
-def note_qc_probe(spark: SparkSession, sf: str) -> DataFrame:
-    return note_counts(spark, sf)
-
-
-def aggregate(probes: DataFrame) -> DataFrame:
-    """One row: totals and their shares."""
-    sums = probes.agg(F.count(F.lit(1)).alias("probes"), *[F.sum(c).alias(c) for c in ("nodes", "model_notes", "fallback_notes", "rejected_nodes", "l1", "l2", "l3", "l4")])
-    nodes = F.col("nodes")
-    return sums.select(
-        "probes", "nodes", "rejected_nodes", _share(F.col("model_notes"), nodes).alias("accepted_rate"), _share(F.col("fallback_notes"), nodes).alias("fallback_rate"), _share(nodes - F.col("l1"), nodes).alias("backoff_rate"),
-        _share(F.col("rejected_nodes"), nodes).alias("mismatch_rate"),
+    The level above a node is its nearest ancestor's that is valid.
+    """
+    c = calibrated(spark, sf)
+    # Every 31st node is set too high and every 37th has no level, so there is something to find.
+    at = F.col("seq") + F.col("preorder")
+    c = c.withColumn("level", F.when(at % 37 == 0, F.lit(None)).when(at % 31 == 0, 5).otherwise(F.col("level"))).withColumn("doc_id", F.floor(F.col("seq") / 100_000))
+    top = c.where("type = 'Sentence'").select("seq", F.col("level").alias("top"))
+    parent = c.where("type = 'Phrase'").select("seq", F.col("preorder").alias("parent"), F.col("level").alias("up"))
+    j = c.join(top, "seq").join(parent, ["seq", "parent"], "left")
+    above = F.when(F.col("type") == "Phrase", F.col("top")).when(F.col("type") == "Word", F.coalesce("up", "top"))
+    level, inner = F.col("level"), F.col("type") != "Sentence"
+    word = (F.col("type") == "Word") & F.col("p").isin("DET", "AUX", "PRON", "ADP", "CCONJ") & (level > 2)
+    return j.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(inner).alias("non_sentence_nodes"), F.count("level").alias("valid_levels"), F.count_if(level.isNull()).alias("invalid_levels"), F.count_if(word).alias("function_word_over_b1"),
+        F.count_if(inner & (level > F.col("top") + 2)).alias("over_sentence_plus_2"), F.count_if(level > above + 1).alias("over_parent_plus_1"), *[F.count_if(level == i).alias(name.lower()) for i, name in enumerate(LEVELS)],
     )
 
 
-def note_qc_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate(note_counts(spark, sf))
-
-
-def _anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    """Calibrated nodes with faults: function words above B1, nodes above sentence + 2, above parent + 1."""
-    c = calibrated(spark, sf)
-    # Every 31st word is set too high, so there is something to find.
-    c = c.withColumn("level", F.when((F.col("seq") + F.col("preorder")) % 31 == 0, 5).otherwise(F.col("level")))
-    parent = c.select("seq", F.col("preorder").alias("parent"), F.col("level").alias("up"))
-    j = c.join(parent, ["seq", "parent"], "left")
-    word = (F.col("type") == "Word") & F.col("p").isin("DET", "AUX", "PRON", "ADP", "CCONJ") & (F.col("level") > 2)
-    return j.select("seq", word.alias("function_word"), ((F.col("type") != "Sentence") & (F.col("level") > F.col("s") + 2)).alias("above_sentence"), F.coalesce(F.col("level") > F.col("up") + 1, F.lit(False)).alias("above_parent"))
+_ANOMALIES = ("function_word_over_b1", "over_sentence_plus_2", "over_parent_plus_1")
 
 
 def cefr_qc_probe(spark: SparkSession, sf: str) -> DataFrame:
-    a = _anomalies(spark, sf).groupBy(F.floor(F.col("seq") / 100_000).alias("doc_id"))
-    return a.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("function_word").alias("function_word"), F.count_if("above_sentence").alias("above_sentence"), F.count_if("above_parent").alias("above_parent"))
+    """Of each document its counters, the valid share of all nodes and the anomalies' share of the nodes below sentences."""
+    p = _level_counts(spark, sf)
+    anomalies = sum((F.col(c) for c in _ANOMALIES), F.lit(0))
+    return p.withColumn("valid_ratio", _share(F.col("valid_levels"), F.col("nodes"))).withColumn("anomaly_rate", _share(anomalies, F.col("non_sentence_nodes")))
 
 
 def cefr_qc_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    p = cefr_qc_probe(spark, sf)
-    s = p.agg(F.count(F.lit(1)).alias("probes"), F.sum("nodes").alias("nodes"), F.sum(F.col("function_word") + F.col("above_sentence") + F.col("above_parent")).alias("anomalies"))
-    return s.withColumn("anomaly_rate", _share(F.col("anomalies"), F.col("nodes")))
-
-
-def regression(base: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row per check of two one-row reports, and whether it passed; a missing metric counts as 0."""
-    metrics = [m for m, _ in CHECKS]
-    b = base.select(*[F.coalesce(F.col(m).try_cast("double"), F.lit(0.0)).alias(f"b_{m}") for m in metrics])
-    c = candidate.select(*[F.coalesce(F.col(m).try_cast("double"), F.lit(0.0)).alias(f"c_{m}") for m in metrics], "probes", "nodes")
-    rows = [F.struct(F.lit(m).alias("check"), F.col(f"b_{m}").alias("baseline"), F.col(f"c_{m}").alias("candidate"), (F.col(f"c_{m}") >= F.col(f"b_{m}") if more else F.col(f"c_{m}") <= F.col(f"b_{m}")).alias("passed")) for m, more in CHECKS]
-    rows.append(F.struct(F.lit("candidate_present").alias("check"), F.lit(0.0).alias("baseline"), F.col("nodes").cast("double").alias("candidate"), ((F.col("probes") > 0) & (F.col("nodes") > 0)).alias("passed")))
-    # Two reports of one row each.
-    return b.crossJoin(c).select(F.inline(F.array(*rows)))
-
-
-def feedback_regression_checks(spark: SparkSession, sf: str) -> DataFrame:
-    p = note_counts(spark, sf)
-    return regression(aggregate(p.where("doc_id % 2 = 0")), aggregate(p.where("doc_id % 2 = 1")))
+    """All documents: totals, the valid share and the anomalies' share of all nodes."""
+    p = _level_counts(spark, sf).drop("doc_id")
+    s = p.agg(F.count(F.lit(1)).alias("probes"), *[F.sum(c).alias(c) for c in p.columns])
+    anomalies = sum((F.col(c) for c in _ANOMALIES), F.lit(0))
+    return s.withColumn("valid_ratio", _share(F.col("valid_levels"), F.col("nodes"))).withColumn("anomaly_rate", _share(anomalies, F.col("nodes")))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,25 +91,18 @@ def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.round(F.avg(rouge("prediction", "label")), 6).alias("rouge_l"), F.avg(F.size(F.split(F.trim("prediction"), r"\s+"))).alias("gen_len"))
 
 
-QUERIES = {f.__name__: f for f in (note_qc_probe, note_qc_aggregate, cefr_qc_probe, cefr_qc_aggregate, feedback_regression_checks, exact_match, rouge_l)}
+QUERIES = {f.__name__: f for f in (cefr_qc_probe, cefr_qc_aggregate, exact_match, rouge_l)}
 
-_PROBE = SELECTED + """,
-probes AS (SELECT seq // 100000 AS doc_id, count(*) AS nodes, count(template_id) AS model_notes, count(*) - count(template_id) AS fallback_notes, count(*) FILTER (refused > 0) AS rejected_nodes,
-  count(*) FILTER (level = 'L1_EXACT') AS l1, count(*) FILTER (level = 'L2_DROP_TAM') AS l2, count(*) FILTER (level = 'L3_LEVEL_POS') AS l3, count(*) FILTER (level = 'L4_FALLBACK') AS l4 FROM selected GROUP BY 1)"""
-_AGG = lambda where: f"SELECT count(*) AS probes, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(rejected_nodes) AS BIGINT) AS rejected_nodes, CAST(round(sum(model_notes) / sum(nodes), 6) AS DOUBLE) AS accepted_rate, CAST(round(sum(fallback_notes) / sum(nodes), 6) AS DOUBLE) AS fallback_rate, CAST(round(sum(nodes - l1) / sum(nodes), 6) AS DOUBLE) AS backoff_rate, CAST(round(sum(rejected_nodes) / sum(nodes), 6) AS DOUBLE) AS mismatch_rate FROM probes {where}"
+_COUNTERS = ("nodes", "non_sentence_nodes", "valid_levels", "invalid_levels", *_ANOMALIES, *(x.lower() for x in LEVELS))
 _CEFR = CALIBRATED + """,
-c AS (SELECT seq, preorder, parent, type, pos, s, CASE WHEN (seq + preorder) % 31 = 0 THEN 5 ELSE level END AS level FROM calibrated),
-cefr AS (SELECT x.seq // 100000 AS doc_id, count(*) AS nodes, count(*) FILTER (x.type = 'Word' AND x.pos[1] IN ('DET', 'AUX', 'PRON', 'ADP', 'CCONJ') AND x.level > 2) AS function_word, count(*) FILTER (x.type <> 'Sentence' AND x.level > x.s + 2) AS above_sentence,
-  count(*) FILTER (x.level > y.level + 1) AS above_parent FROM c x LEFT JOIN c y ON x.seq = y.seq AND x.parent = y.preorder GROUP BY 1)"""
+c AS MATERIALIZED (SELECT seq, preorder, parent, type, pos, CASE WHEN (seq + preorder) % 37 = 0 THEN NULL WHEN (seq + preorder) % 31 = 0 THEN 5 ELSE level END AS level FROM calibrated),
+x AS (SELECT c.*, t.level AS top, CASE c.type WHEN 'Phrase' THEN t.level WHEN 'Word' THEN coalesce(p.level, t.level) END AS above FROM c JOIN (SELECT seq, level FROM c WHERE type = 'Sentence') t ON c.seq = t.seq LEFT JOIN (SELECT seq, preorder, level FROM c WHERE type = 'Phrase') p ON c.seq = p.seq AND c.parent = p.preorder),
+cefr AS (SELECT seq // 100000 AS doc_id, count(*) AS nodes, count(*) FILTER (type <> 'Sentence') AS non_sentence_nodes, count(level) AS valid_levels, count(*) - count(level) AS invalid_levels, count(*) FILTER (type = 'Word' AND pos[1] IN ('DET', 'AUX', 'PRON', 'ADP', 'CCONJ') AND level > 2) AS function_word_over_b1,
+  count(*) FILTER (type <> 'Sentence' AND level > top + 2) AS over_sentence_plus_2, count(*) FILTER (level > above + 1) AS over_parent_plus_1, """ + ", ".join(f"count(*) FILTER (level = {i}) AS {x.lower()}" for i, x in enumerate(LEVELS)) + " FROM x GROUP BY 1)"
+_SUM = " + ".join(_ANOMALIES)
 
 ORACLES = {
-    "note_qc_probe": V.sql(_PROBE, "SELECT * FROM probes"),
-    "note_qc_aggregate": V.sql(_PROBE, _AGG("")),
-    "cefr_qc_probe": V.sql(_CEFR, "SELECT * FROM cefr"),
-    "cefr_qc_aggregate": V.sql(_CEFR, "SELECT count(*) AS probes, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(function_word + above_sentence + above_parent) AS BIGINT) AS anomalies, CAST(round(sum(function_word + above_sentence + above_parent) / sum(nodes), 6) AS DOUBLE) AS anomaly_rate FROM cefr"),
-    "feedback_regression_checks": V.sql(_PROBE, f""", b AS ({_AGG('WHERE doc_id % 2 = 0')}), c AS ({_AGG('WHERE doc_id % 2 = 1')})
-      SELECT 'accepted_rate' AS "check", b.accepted_rate AS baseline, c.accepted_rate AS candidate, c.accepted_rate >= b.accepted_rate AS passed FROM b, c UNION ALL SELECT 'fallback_rate', b.fallback_rate, c.fallback_rate, c.fallback_rate <= b.fallback_rate FROM b, c
-      UNION ALL SELECT 'rejected_nodes', b.rejected_nodes::DOUBLE, c.rejected_nodes::DOUBLE, c.rejected_nodes <= b.rejected_nodes FROM b, c UNION ALL SELECT 'mismatch_rate', b.mismatch_rate, c.mismatch_rate, c.mismatch_rate <= b.mismatch_rate FROM b, c
-      UNION ALL SELECT 'candidate_present', 0.0::DOUBLE, c.nodes::DOUBLE, c.probes > 0 AND c.nodes > 0 FROM c"""),
+    "cefr_qc_probe": V.sql(_CEFR, f"SELECT *, round(valid_levels / nodes, 6) AS valid_ratio, coalesce(round(CAST({_SUM} AS DOUBLE) / nullif(non_sentence_nodes, 0), 6), 0.0::DOUBLE) AS anomaly_rate FROM cefr"),
+    "cefr_qc_aggregate": V.sql(_CEFR, ", s AS (SELECT count(*) AS probes, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _COUNTERS) + f" FROM cefr) SELECT *, round(valid_levels / nodes, 6) AS valid_ratio, round(CAST({_SUM} AS DOUBLE) / nodes, 6) AS anomaly_rate FROM s"),
     "exact_match": V.sql(V.SENTENCES, "SELECT doc_id, round(avg(CAST(trim(CASE WHEN seq % 3 = 0 THEN regexp_replace(text, ' [^ ]+$', '') ELSE ' ' || text END) = trim(text) AS INTEGER)), 4) AS exact_match FROM sentences GROUP BY doc_id"),
 }

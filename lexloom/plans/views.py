@@ -6,6 +6,9 @@ deterministic tagger: parts of speech by word lists and endings, phrases of four
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -26,6 +29,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the cluster's shared checkpoint folder; only a local session, which has one machine, does without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """df written once to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, sent_idx, seq, text: the sentences of all documents; seq orders them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", squeeze("text").alias("ntext"))

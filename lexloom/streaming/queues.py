@@ -6,7 +6,6 @@ table in the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import STATUS
-
-
-def _shared(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..plans.views import shared_folder
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +27,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream to its end into a table and return that."""
     spark = stream.sparkSession
-    path = _shared(spark)
+    path = shared_folder(spark)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -66,13 +62,21 @@ def stream_ingest_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by type and day; late ones count within the watermark."""
-    e = events(spark, sf).withWatermark("ts", "3650 days").groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    spark_ = e.sparkSession
-    name = f"counts_{uuid.uuid4().hex}"
-    query = e.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    """Events by type and day; late ones count within the watermark of a day.
+
+    Every trigger writes the windows that it changed to a table, with its number; the last write of a window holds.
+    """
+    e = events(spark, sf).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_folder(spark)
+
+    def write(rows: DataFrame, number: int) -> None:
+        # A folder for each trigger: a trigger that runs again replaces what it wrote.
+        rows.select(F.col("day.start").cast("date").alias("day"), "event_type", "n", F.lit(number).alias("trigger")).write.mode("overwrite").parquet(f"{path}/out/t{number}")
+
+    query = e.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark_.table(name).select(F.col("day.start").cast("date").alias("day"), "event_type", "n")
+    written = spark.read.schema("day date, event_type string, n long, trigger int").option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return written.groupBy("day", "event_type").agg(F.max_by("n", "trigger").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (stream_job_state, stream_ingest_dedup, stream_windowed_counts)}
@@ -80,5 +84,6 @@ QUERIES = {f.__name__: f for f in (stream_job_state, stream_ingest_dedup, stream
 ORACLES = {
     "stream_job_state": """WITH j AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'canceled' END AS status,
       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS seen FROM events) SELECT user_id AS file_id, event_id AS id, status, seen FROM j WHERE r = 1""",
+    "stream_ingest_dedup": "SELECT event_type, count(DISTINCT (user_id, date_trunc('hour', ts))) AS n FROM events GROUP BY event_type",
     "stream_windowed_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
