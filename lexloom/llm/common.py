@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,11 +44,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the cluster's shared checkpoint folder."""
+    """A new path below the cluster's shared checkpoint folder.  Without one a cluster is an error; a local session, which has one machine, gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jdir.get() if jdir.isDefined() else "/tmp/checkpoints"
+        base = jdir.get() if jdir.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
