@@ -8,11 +8,12 @@ text's chunk digests with their lengths; the likeness of one fingerprint to anot
 bytes in chunks whose digests the other holds too (weighted containment).
 
 The query's next document is found with no global sort: ids are cut into ranges at quantiles, each range's
-rows are sorted in its own task, and the first row of each range is also sent to the range before.
+rows are sorted in its own task, and the first row of each range is also sent to the range before.  An id
+with more rows than a range should hold is a range of its own, cut further by a hash of the text.
 
 Defined cases: null text counts as empty, with an empty fingerprint; an empty fingerprint is contained
-in any (likeness 1) if the other is empty and has likeness 0 otherwise; repeated ids come by text; null ids
-come last; a single row is its own next; an empty table gives no rows; extra columns are ignored.
+in any (likeness 1) if the other is empty and has likeness 0 otherwise; rows that share an id come by a
+hash of the text, then by text; null ids come last; a single row is its own next; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,16 +106,25 @@ def ranges(docs: DataFrame, n: int) -> list[int]:
 
 
 def with_part(docs: DataFrame) -> DataFrame:
-    """doc_id, text, part: a range of ids; part grows as ids fall."""
+    """doc_id, text, place (orders the rows of an id), part: a range of ids, of a frequent id a range of places; part grows as ids fall and places rise."""
     spark = docs.sparkSession
-    rows = texts_of(docs)
-    cuts = ranges(rows, max(2, 8 * partitions(spark)))
+    rows = texts_of(docs).withColumn("place", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    n = max(2, 8 * partitions(spark))
+    cuts = ranges(rows, n)
+    total = rows.count()
+    # Ids with more rows than a range should hold: fewer than there are ranges.
+    frequent = {r["doc_id"]: math.ceil(r["count"] * n / total) for r in rows.groupBy("doc_id").count().where(F.col("count") > total / n).collect()} if total > n else {}
+    known = [i for i in frequent if i is not None]
+    cuts = sorted({*cuts, *known, *(i + 1 for i in known)})
+    most = max(frequent.values(), default=1)
+    pieces = functools.reduce(lambda c, i: c.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.lit(frequent[i])), frequent, F.when(F.lit(False), 1)).otherwise(F.lit(1))
+    sub = F.least(F.floor(F.col("place") / float(1 << 63) * pieces), pieces - 1).cast("long")
     if not cuts:
-        return rows.withColumn("part", F.lit(0))
+        return rows.withColumn("part", sub)
     splits = [-math.inf, *dict.fromkeys(map(float, cuts)), math.inf]
     found = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(rows.withColumn("_at", F.col("doc_id").cast("double")))
-    part = F.coalesce(F.when(F.col("doc_id").isNotNull(), len(splits) - 2 - F.col("_bucket")), F.lit(len(splits) - 1))
-    return found.select("doc_id", "text", part.cast("int").alias("part"))
+    part = F.coalesce(F.when(F.col("doc_id").isNotNull(), len(splits) - 2 - F.col("_bucket")), F.lit(len(splits) - 1)).cast("long")
+    return found.select("doc_id", "text", "place", (part * most + sub).alias("part"))
 
 
 def _with_following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +156,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint and the edited text's, and likenesses, of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     rows = with_part(docs)
-    # The first row of each part (its largest id) is also sent to the part before; that of the first closes the ring.
-    # As many rows as ranges, so at most 8 * partitions + 2.
-    heads = rows.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    # The first row of each part (largest id, then least place) is also sent to the part before; that of the first closes the ring.
+    # As many rows as ranges and pieces of frequent ids: a few times 8 * partitions.
+    heads = rows.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("down"), "place")).alias("head")).select("part", (-F.col("head.down")).alias("head"), F.col("head.place").alias("place")).orderBy("part").collect()
     order = [r["part"] for r in heads]
-    firsts = spark.createDataFrame([(r["part"], r["head"], order[i - 1]) for i, r in enumerate(heads)], "part int, head long, goes_to int")
-    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
+    firsts = spark.createDataFrame([(r["part"], r["head"], r["place"], order[i - 1]) for i, r in enumerate(heads)], "part long, head long, first long, goes_to long")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("place") == F.col("first"))
     own = F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))
     lent = F.struct(F.col("goes_to").alias("part"), F.lit(False).alias("own"))
     dealt = (
         rows.join(F.broadcast(firsts), "part")
-        .select("doc_id", "text", F.inline(F.when(is_head, F.array(own, lent)).otherwise(F.array(own))).alias("part", "own"))
+        .select("doc_id", "text", "place", F.inline(F.when(is_head, F.array(own, lent)).otherwise(F.array(own))).alias("part", "own"))
         .repartition(partitions(spark), "part")
-        .sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "text")
+        .sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "place", "text")
     )
     return dealt.select("part", "own", "doc_id", "text").mapInArrow(
         _with_following, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

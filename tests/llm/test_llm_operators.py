@@ -506,6 +506,34 @@ def test_next_document_over_ranges(docs, odd, empty, spark):
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_frequent_ids(spark):
+    """An id, and the null id, with a large share of the rows: every row is followed by the next of one order, and ranges stay small."""
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{rng.integers(500)}" for _ in range(int(rng.integers(3, 40))))
+    rows = [(5, text()) for _ in range(400)] + [(None, text()) for _ in range(250)] + [(i, text()) for i in range(10, 360)] + [(3, "same text")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [(r["doc_id"], r["text"]) for r in df.withColumn("p", F.shiftrightunsigned(F.xxhash64("text"), 1)).orderBy(F.col("doc_id").desc_nulls_last(), "p", "text").collect()]
+
+    def likeness(a, b):
+        """By a dictionary of pieces and a plain loop."""
+        mine = {piece: n for piece, n in chunking.chunks(a)}
+        theirs = [piece for piece, _ in chunking.chunks(b)]
+        held = 0
+        for piece, n in mine.items():
+            held += n if piece in theirs else 0
+        return held / sum(mine.values()) if mine else float(not theirs)
+
+    want = []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        want.append((str(i), len(t), hashlib.sha256(changed.encode()).hexdigest(), round(likeness(t, changed), 9), round(likeness(t, following), 9)))
+    got = chunking.fingerprints(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+    sizes = [r["count"] for r in chunking.with_part(df).groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 6 * len(rows) / 64
+
+
 # --- 8: nearest neighbours
 
 
