@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
+from ..functions.providers import nfc
 from ..plans import views as V
 
 LEAST_CHARS, MOST_CHARS = 12, 260
@@ -121,15 +122,56 @@ def level_records_projection(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("type", dep.alias("dep_label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
+SENTENCE_QUOTA, PHRASE_QUOTA, WORD_QUOTA = 100, 300, 600
+
+
 def level_quota_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Per level the first nodes in document order, up to the level's quota."""
-    n = V.nodes(spark, sf)
-    quota = F.when(F.col("type") == "Sentence", 100).when(F.col("type") == "Phrase", 300).otherwise(600)
+    """Per level the first nodes in document order, up to the level's quota; no document after the one that fills the sentences' quota is read."""
+    n = V.nodes(spark, sf).select("doc_id", "type", "seq", "preorder")
+    # A bounded top-k: the quota is the feature's.
+    full = n.where("type = 'Sentence'").select("doc_id", "seq").orderBy("seq").limit(SENTENCE_QUOTA).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_last"))
+    read = n.crossJoin(F.broadcast(full)).where((F.col("_n") < SENTENCE_QUOTA) | (F.col("doc_id") <= F.col("_last")))
+    quota = F.when(F.col("type") == "Sentence", SENTENCE_QUOTA).when(F.col("type") == "Phrase", PHRASE_QUOTA).otherwise(WORD_QUOTA)
     # Rank up to the largest quota only: a group limit within tasks, then the level's own.
-    ranked = n.select("type", "seq", "preorder").withColumn("rank", F.row_number().over(W.Window.partitionBy("type").orderBy("seq", "preorder"))).where("rank <= 600")
+    ranked = read.select("type", "seq", "preorder").withColumn("rank", F.row_number().over(W.Window.partitionBy("type").orderBy("seq", "preorder"))).where(F.col("rank") <= max(SENTENCE_QUOTA, PHRASE_QUOTA, WORD_QUOTA))
     return ranked.where(F.col("rank") <= quota)
 
 
+_RECORD = """type || '|' || content || '|' || sentence || '|' || source || '|' || url || '|' || licence || '|' || CASE WHEN coalesce(attribution, true) THEN 'attributed' ELSE 'free' END || '|' || CASE type WHEN 'Word' THEN word_dep || '|' || word_pos ELSE '-' END"""
+_PROVENANCE = {"url": "'https://example.org/' || source", "licence": "CASE doc_id % 3 WHEN 0 THEN 'cc_by' WHEN 1 THEN 'mit' ELSE '' END", "attribution": "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END"}
+
+
+def level_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the three levels with their provenance; dependency and class only for words; attribution is required unless a source says otherwise."""
+    d = V.read(spark, sf, "documents").select("doc_id", "source")
+    n = V.nodes(spark, sf).select("doc_id", "type", "content", "sentence", F.col("dep")[0].alias("word_dep"), F.col("pos")[0].alias("word_pos")).join(d, "doc_id")
+    for name, e in _PROVENANCE.items():
+        n = n.withColumn(name, F.expr(e))
+    return n.groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"), F.min(F.sha2(F.expr(_RECORD), 256)).alias("least"))
+
+
+def ingestion_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's tables: rows by source, and the 20 most frequent classes, dependencies and buckets: the report's own limit."""
+    s = V.sentences(spark, sf).select(F.lit("source").alias("kind"), F.col("source").alias("key"))
+    t = V.tokens(spark, sf).select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("pos", "dep")])))
+    n = V.nodes(spark, sf).select(F.lit("tam").alias("kind"), F.col("tam").alias("key"))
+    g = s.unionByName(t).unionByName(n).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    # A few dozen rows.
+    rank = F.row_number().over(W.Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
+    return g.withColumn("rank", rank).where((F.col("kind") == "source") | (F.col("rank") <= 20))
+
+
+_SPELT = "CASE doc_id % 2 WHEN 0 THEN replace(text, 'é', 'é') ELSE text END"
+
+
+def canonical_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of texts in composed form with single spaces; only texts that are not ASCII go through Python."""
+    d = V.read(spark, sf, "documents").select("doc_id", F.expr(_SPELT).alias("text"))
+    plain = d.where(~F.coalesce(F.col("text").rlike(r"[^\x00-\x7f]"), F.lit(False)))
+    other = d.where(F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("text", nfc("text"))
+    return plain.unionByName(other).select("doc_id", F.sha2(T.squeeze("text"), 256).alias("text_sha256"))
+
+
 def tokenize_words(spark: SparkSession, sf: str) -> DataFrame:
     d = V.read(spark, sf, "documents").select("doc_id", T.tokens("text").alias("ws"))
     return d.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"))
@@ -142,7 +184,7 @@ def token_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     text_normalize, scan_jsonl_default_ids, html_strip_pages, sentence_split, length_eligibility, corpus_dedup_first_wins, corpus_quota_per_source,
-    corpus_fold_across_sources, source_contribution_rank, ingestion_quality_report, level_records_projection, level_quota_extract, tokenize_words, token_topk,
+    corpus_fold_across_sources, source_contribution_rank, ingestion_quality_report, level_records_projection, level_quota_extract, level_records, ingestion_breakdown, canonical_text, tokenize_words, token_topk,
 )}
 
 _FOLD_SOURCES = tuple(sorted(f"src{i}" for i in range(20)))
@@ -176,8 +218,13 @@ ORACLES = {
     "ingestion_quality_report": V.sql(V.SENTENCES, """SELECT count(*) AS total, count(*) - count(DISTINCT lower(text)) AS duplicates, round((count(*) - count(DISTINCT lower(text))) / count(*), 6) AS duplicate_ratio,
       round(count(*) FILTER (doc_id % 5 <> 0) / count(*), 6) AS licence_coverage FROM sentences"""),
     "level_records_projection": V.sql(V.NODES, "SELECT type, CASE WHEN type = 'Word' THEN dep[1] END AS dep_label, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM nodes GROUP BY 1, 2"),
-    "level_quota_extract": V.sql(V.NODES, """SELECT type, seq, CAST(preorder AS INTEGER) AS preorder, CAST(rank AS INTEGER) AS rank FROM (SELECT type, seq, preorder, row_number() OVER (PARTITION BY type ORDER BY seq, preorder) AS rank FROM nodes)
-      WHERE rank <= CASE type WHEN 'Sentence' THEN 100 WHEN 'Phrase' THEN 300 ELSE 600 END"""),
+    "level_quota_extract": V.sql(V.NODES, f""", q AS (SELECT doc_id FROM nodes WHERE type = 'Sentence' ORDER BY seq LIMIT {SENTENCE_QUOTA}), f AS (SELECT count(*) AS n, max(doc_id) AS last FROM q)
+      SELECT type, seq, CAST(preorder AS INTEGER) AS preorder, CAST(rank AS INTEGER) AS rank FROM (SELECT type, seq, preorder, row_number() OVER (PARTITION BY type ORDER BY seq, preorder) AS rank FROM nodes, f WHERE n < {SENTENCE_QUOTA} OR doc_id <= last)
+      WHERE rank <= CASE type WHEN 'Sentence' THEN {SENTENCE_QUOTA} WHEN 'Phrase' THEN {PHRASE_QUOTA} ELSE {WORD_QUOTA} END"""),
+    "level_records": V.sql(V.NODES, ", sent AS MATERIALIZED (SELECT seq, content AS sentence FROM nodes WHERE type = 'Sentence'), r AS (SELECT n.doc_id, n.type, n.content, sentence, n.dep[1] AS word_dep, n.pos[1] AS word_pos, d.source, " + ", ".join(f"{e.replace('doc_id', 'd.doc_id').replace('source', 'd.source')} AS {k}" for k, e in _PROVENANCE.items()) + f" FROM nodes n JOIN sent USING (seq) JOIN documents d ON n.doc_id = d.doc_id) SELECT type, source, count(*) AS n, min(sha256({_RECORD})) AS least FROM r GROUP BY 1, 2"),
+    "ingestion_breakdown": V.sql(V.NODES, """, k AS (SELECT 'source' AS kind, source AS key FROM sentences UNION ALL SELECT 'pos', pos FROM tokens UNION ALL SELECT 'dep', dep FROM tokens UNION ALL SELECT 'tam', tam FROM nodes), g AS (SELECT kind, key, count(*) AS n FROM k GROUP BY 1, 2)
+      SELECT * FROM (SELECT kind, key, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS INTEGER) AS rank FROM g) WHERE kind = 'source' OR rank <= 20"""),
+    "canonical_text": f"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize({_SPELT}), '\\s+', ' ', 'g'))) AS text_sha256 FROM documents",
     "tokenize_words": "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS ws FROM documents)",
     "token_topk": V.sql(V.TOKENS, "SELECT w, n FROM (SELECT w, count(*) AS n, min(seq * 100000 + i) AS f FROM tokens GROUP BY w) ORDER BY n DESC, f LIMIT 20"),
 }

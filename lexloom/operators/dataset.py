@@ -179,6 +179,19 @@ def bootstrap_per_stratum(spark: SparkSession, sf: str) -> DataFrame:
     return _hashed(V.examples(spark, sf)).withColumn("r", r).where("r <= 100").select("seq", "level", "target")
 
 
+#: Sizes of the bootstrap's splits for each stratum.
+BOOTSTRAP = (("train", 1200), ("dev", 200), ("test", 200))
+
+
+def bootstrap_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each (level, target), in hash order, the first rows to train, the next to dev and to test."""
+    sizes = dict(BOOTSTRAP)
+    r = F.row_number().over(W.Window.partitionBy("level", "target").orderBy("h"))
+    ranked = _hashed(V.examples(spark, sf)).withColumn("r", r).where(F.col("r") <= sum(sizes.values()))
+    split = F.when(F.col("r") <= sizes["train"], "train").when(F.col("r") <= sizes["train"] + sizes["dev"], "dev").otherwise("test")
+    return ranked.groupBy("level", "target", split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+
+
 def count_by_level(spark: SparkSession, sf: str) -> DataFrame:
     return V.examples(spark, sf).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
@@ -223,7 +236,7 @@ def feedback_mix_weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     template_id_classify, template_target_render, reference_note_variant, target_sanitize_reason, hard_rule_filter, prompt_render, legacy_prompt_render, dedup_exact_pairs,
-    cap_per_target, dedup_cap_report, balance_level_tam, split_train_dev_test, split_sizes, bootstrap_per_stratum, count_by_level, level_tam_matrix, level_tam_cube, target_stats, target_topk,
+    cap_per_target, dedup_cap_report, balance_level_tam, split_train_dev_test, split_sizes, bootstrap_per_stratum, bootstrap_splits, count_by_level, level_tam_matrix, level_tam_cube, target_stats, target_topk,
     quality_gates, feedback_mix_weighted,
 )}
 
@@ -259,6 +272,8 @@ ORACLES = {
     "split_sizes": V.sql(_DEDUP, """, c AS (SELECT count(*) AS n FROM dedup), s AS (SELECT n, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS t FROM c)
       SELECT 'test' AS split, t AS n FROM s UNION ALL SELECT 'dev', t FROM s UNION ALL SELECT 'train', n - 2 * t FROM s"""),
     "bootstrap_per_stratum": V.sql(V.EXAMPLES, "SELECT seq, level, target FROM (SELECT *, row_number() OVER (PARTITION BY level, target ORDER BY md5('42|' || seq)) AS r FROM examples) WHERE r <= 100"),
+    "bootstrap_splits": V.sql(V.EXAMPLES, """, r AS (SELECT level, target, md5('42|' || seq) AS h, row_number() OVER (PARTITION BY level, target ORDER BY md5('42|' || seq)) AS r FROM examples)
+      SELECT level, target, CASE WHEN r <= 1200 THEN 'train' WHEN r <= 1400 THEN 'dev' ELSE 'test' END AS split, count(*) AS n, min(h) AS least FROM r WHERE r <= 1600 GROUP BY 1, 2, 3"""),
     "count_by_level": V.sql(V.EXAMPLES, "SELECT level, count(*) AS n FROM examples GROUP BY level"),
     "level_tam_matrix": V.sql(V.EXAMPLES, "SELECT level, tam_bucket, count(*) AS n FROM examples GROUP BY ALL"),
     "level_tam_cube": V.sql(V.EXAMPLES, "SELECT level, tam_bucket, count(*) AS n, CAST(grouping_id(level, tam_bucket) AS BIGINT) AS g FROM examples GROUP BY CUBE (level, tam_bucket)"),

@@ -13,18 +13,15 @@ from pyspark.sql import window as W
 from ..functions import text as T
 from ..plans import views as V
 from . import contract as C
+from .grammar import IRREGULAR
 from .notes import DESCRIBED, described
 from .store import CEFR_LEVELS
 
 #: Locales of languages.
 LOCALES = {"en": "en-US", "ru": "ru-RU", "uk": "uk-UA", "de": "de-DE", "fr": "fr-FR", "es": "es-ES", "it": "it-IT", "pt": "pt-PT", "pl": "pl-PL", "tr": "tr-TR"}
-#: Classes that have synonyms; particles of verbs; past participles that no rule gives.
+#: Classes that have synonyms; particles of verbs.
 LEXICAL = ("noun", "verb", "adjective", "adverb")
 PARTICLES = {"bank": "on", "rely": "on", "count": "on", "depend": "on"}
-PARTICIPLES = {
-    "be": "been", "become": "become", "begin": "begun", "break": "broken", "bring": "brought", "buy": "bought", "come": "come", "do": "done", "drink": "drunk", "drive": "driven", "eat": "eaten", "fall": "fallen", "feel": "felt", "find": "found",
-    "get": "gotten", "give": "given", "go": "gone", "know": "known", "leave": "left", "make": "made", "read": "read", "run": "run", "say": "said", "see": "seen", "speak": "spoken", "swear": "sworn", "take": "taken", "write": "written",
-}
 SOURCE, TARGET, MODEL = "en", "ru", "echo"
 TOP_K = 2
 
@@ -239,11 +236,11 @@ def synonym_attach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The past participle of `head`.
-_PARTICIPLE = _case("head", PARTICIPLES, "CASE WHEN head LIKE '%e' THEN head || 'd' WHEN length(head) > 1 AND head LIKE '%y' AND substring(head, length(head) - 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN substring(head, 1, length(head) - 1) || 'ied' ELSE head || 'ed' END")
+_PARTICIPLE = _case("head", IRREGULAR, "CASE WHEN head LIKE '%e' THEN head || 'd' WHEN length(head) > 1 AND head LIKE '%y' AND substring(head, length(head) - 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN substring(head, 1, length(head) - 1) || 'ied' ELSE head || 'ed' END")
 _HEAD = "split_part(cand, ' ', 1)"
 _PARTICLED = f"CASE WHEN pos = 'verb' AND cand = head AND head IN ({V.sql_list(tuple(PARTICLES))}) THEN head || ' ' || {_case('head', PARTICLES, chr(39) * 2)} ELSE cand END"
 _INFLECTED = f"CASE WHEN pos = 'verb' AND participle THEN {_PARTICIPLE} || substring(particled, length(head) + 1) ELSE particled END"
-_VERBS = (*PARTICIPLES, *PARTICLES, "carry on", "play", "move", "try", "Bank ", "  ", "walk away")
+_VERBS = (*IRREGULAR, *PARTICLES, "carry on", "play", "move", "try", "Bank ", "  ", "walk away")
 
 
 def synonym_postprocess(spark: SparkSession, sf: str) -> DataFrame:

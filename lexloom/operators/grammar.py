@@ -10,10 +10,18 @@ from ..plans import views as V
 
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
 #: Past participles that no ending gives, and word pairs of the idiomatic channel.
-IRREGULAR = {"be": "been", "begin": "begun", "break": "broken", "come": "come", "do": "done", "give": "given", "go": "gone", "have": "had", "know": "known", "make": "made", "see": "seen", "take": "taken", "write": "written"}
+IRREGULAR = {
+    "be": "been", "become": "become", "begin": "begun", "break": "broken", "bring": "brought", "buy": "bought", "come": "come", "do": "done", "drink": "drunk", "drive": "driven", "eat": "eaten", "fall": "fallen", "feel": "felt", "find": "found",
+    "get": "gotten", "give": "given", "go": "gone", "know": "known", "leave": "left", "make": "made", "read": "read", "run": "run", "say": "said", "see": "seen", "speak": "spoken", "swear": "sworn", "take": "taken", "write": "written",
+}
 IDIOMATIC = (("необходимо", "нужно"), ("следует", "стоит"), ("должна была", "стоило бы"), ("должен был", "стоило бы"))
 
 
+#: The highest level (from 0) of function words by class; classes of the tagger's tags.
+CEILING = {"article": 0, "auxiliary verb": 1, "determiner": 1, "pronoun": 1, "preposition": 2, "conjunction": 2, "particle": 2}
+CLASS_OF = {"DET": "article", "AUX": "auxiliary verb", "PRON": "pronoun", "ADP": "preposition", "CCONJ": "conjunction", "PART": "particle"}
+
+
 def rule_level(kind: Column, text: Column, modal: Column, perfect: Column, nonfinite: Column) -> Column:
     """0-based level of a node: words by length and vowels, others by words, characters and verbal marks."""
     n = F.length(text)
@@ -49,7 +57,8 @@ def calibrated(spark: SparkSession, sf: str) -> DataFrame:
     s = n.where("type = 'Sentence'").select("seq", F.col("raw").alias("s"))
     p = n.where("type = 'Phrase'").join(s, "seq").withColumn("level", F.least(F.greatest("raw", F.col("s") - 1), F.least(F.col("s") + 1, F.lit(5))))
     above = p.select("seq", F.col("preorder").alias("parent"), F.col("level").alias("up"))
-    ceiling = F.when(F.col("p") == "DET", 0).when(F.col("p").isin("AUX", "PRON"), 1).when(F.col("p").isin("ADP", "CCONJ"), 2).otherwise(5)
+    # The tagger's DET is the article.
+    ceiling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.try_element_at(F.create_map(*[F.lit(x) for kv in CLASS_OF.items() for x in kv]), F.col("p"))), F.lit(5))
     w = n.where("type = 'Word'").join(s, "seq").join(above, ["seq", "parent"])
     w = w.withColumn("level", F.least("raw", ceiling, F.least(F.col("s") + 2, F.lit(5)), F.least(F.col("up") + 1, F.lit(5))))
     cols = ["seq", "preorder", "parent", "type", "p", "level", "s"]

@@ -89,10 +89,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def upsert(state: DataFrame, batch: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """New state: of each key the row of the highest version; created stays the first version's."""
+    """New state: of each key the row of the highest version; created stays the first version's.  One aggregate."""
     every = state.unionByName(batch)
-    created = every.groupBy(*keys).agg(F.min(version).alias("created"))
-    return latest(every, keys, [version]).join(created, keys)
+    rest = [c for c in every.columns if c not in keys]
+    g = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_one"), F.min(version).alias("created"))
+    return g.select(*keys, *[F.col("_one")[c].alias(c) for c in rest], "created")
 
 
 def upsert_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,13 +193,13 @@ def project_file_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document with child counts and its file's latest job; children are counted before the join."""
+    """Each document with its five child figures (sentences, contracts, links, version and length of its text) and its file's latest job; children are counted before the join."""
     d = V.read(spark, sf, "documents").select("doc_id", "n_chars")
     s = V.sentences(spark, sf)
-    counts = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(F.col("seq") % 11 != 0).alias("linked"))
+    counts = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(F.col("seq") % 11 != 5).alias("contracts"), F.count_if(F.col("seq") % 11 != 0).alias("linked"), F.sum(F.length("text")).alias("text_length"), (F.max("sent_idx") + 1).cast("long").alias("version"))
     last = jobs_latest(spark, sf).select("file_id", F.col("status").alias("job_status"))
     j = d.join(counts, "doc_id", "left").join(last, (F.col("doc_id") % 100) == F.col("file_id"), "left")
-    return j.select("doc_id", "n_chars", F.coalesce("sentences", F.lit(0)).alias("sentences"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("job_status", F.lit("none")).alias("job_status"))
+    return j.select("doc_id", "n_chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sentences", "contracts", "linked", "text_length", "version")], F.coalesce("job_status", F.lit("none")).alias("job_status"))
 
 
 def media_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,17 +254,30 @@ def orphan_checks(spark: SparkSession, sf: str) -> DataFrame:
     return d.union(g)
 
 
+def expired(files: DataFrame, now: Column, ttl_hours: int = 24) -> DataFrame:
+    """Files (ts, ...) with `gone`: older than their time; an age of exactly the limit stays."""
+    return files.withColumn("gone", (F.unix_timestamp(now) - F.unix_timestamp("ts")) > ttl_hours * 3600)
+
+
+def _temporary(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("bytes"))
+    return expired(e, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
 def ttl_cleanup_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Files older than a day at a fixed hour, counted and summed; an age of exactly the limit stays."""
-    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    e = V.read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("bytes"))
-    gone = (F.unix_timestamp(now) - F.unix_timestamp("ts")) > 24 * 3600
-    return e.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(gone).alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("bytes"))), F.lit(0)).alias("freed"))
+    """Files older than a day at a fixed hour, counted and summed."""
+    gone = F.col("gone")
+    return _temporary(spark, sf).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(gone).alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("bytes"))), F.lit(0)).alias("freed"))
+
+
+def ttl_rows_to_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """The files that the clean-up deletes: a plan; nothing is deleted here."""
+    return _temporary(spark, sf).where("gone").select("event_id", "bytes")
 
 
 QUERIES = {f.__name__: f for f in (
     review_edit_join, review_export, hil_quality_gates, upsert_sentences, replace_document_sentences, count_language_pair, sentence_hash, sentence_key_hash, phone_normalize_hash, jobs_latest, jobs_resumable,
-    jobs_retry, sync_queue, media_files_analysis, project_file_counts, document_status, visualizer_rows, visualizer_keys, contract_hash_resolution, file_settings_join, orphan_checks, ttl_cleanup_report,
+    jobs_retry, sync_queue, media_files_analysis, project_file_counts, document_status, visualizer_rows, visualizer_keys, contract_hash_resolution, file_settings_join, orphan_checks, ttl_cleanup_report, ttl_rows_to_delete,
 )}
 
 _arr = lambda xs: "[" + V.sql_list(xs) + "]"
@@ -302,8 +316,8 @@ ORACLES = {
     "sync_queue": V.sql(_FILES, "SELECT CASE WHEN size_bytes > 262144000 THEN 'large_media_reference' ELSE 'missing_content' END AS kind, CASE WHEN id % 5 = 0 THEN 'failed' WHEN id % 5 = 1 THEN 'sent' ELSE 'queued' END AS state, count(*) AS n FROM files GROUP BY 1, 2"),
     "media_files_analysis": V.sql(_FILES, "SELECT f.id, project_id, d.id AS document_id, d.id IS NOT NULL AS analyzed FROM files f LEFT JOIN docs d ON f.id = d.file_id AND d.status = 'completed'"),
     "project_file_counts": V.sql(_FILES, """SELECT c_custkey, count(f.id) AS total, count(*) FILTER (f.id IN (SELECT file_id FROM docs WHERE status = 'completed')) AS analyzed FROM customer LEFT JOIN files f ON c_custkey = project_id GROUP BY c_custkey"""),
-    "document_status": V.sql(V.SENTENCES + "," + _JOBS, """SELECT d.doc_id, n_chars, (SELECT count(*) FROM sentences s WHERE s.doc_id = d.doc_id) AS sentences, (SELECT count(*) FROM sentences s WHERE s.doc_id = d.doc_id AND s.seq % 11 <> 0) AS linked,
-      coalesce(status, 'none') AS job_status FROM documents d LEFT JOIN latest ON d.doc_id % 100 = file_id"""),
+    "document_status": V.sql(V.SENTENCES + "," + _JOBS, """SELECT d.doc_id, n_chars, (SELECT count(*) FROM sentences s WHERE s.doc_id = d.doc_id) AS sentences, (SELECT count(*) FROM sentences s WHERE s.doc_id = d.doc_id AND s.seq % 11 <> 5) AS contracts, (SELECT count(*) FROM sentences s WHERE s.doc_id = d.doc_id AND s.seq % 11 <> 0) AS linked,
+      CAST(coalesce((SELECT sum(length(text)) FROM sentences s WHERE s.doc_id = d.doc_id), 0) AS BIGINT) AS text_length, CAST(coalesce((SELECT max(sent_idx) + 1 FROM sentences s WHERE s.doc_id = d.doc_id), 0) AS BIGINT) AS version, coalesce(status, 'none') AS job_status FROM documents d LEFT JOIN latest ON d.doc_id % 100 = file_id"""),
     "visualizer_rows": V.sql(_MEDIA, "SELECT m.document_id, m.sent_idx, CAST(length(c.text) AS INTEGER) AS payload FROM media m JOIN media l ON m.seq = l.seq AND l.seq % 11 <> 3 JOIN media c ON c.document_id = m.document_id AND c.hash = m.hash AND c.seq % 11 <> 5"),
     "visualizer_keys": V.sql(_MEDIA, "SELECT document_id, sent_idx, CASE WHEN n = 1 THEN text ELSE text || ' #' || n END AS display_key FROM (SELECT *, row_number() OVER (PARTITION BY document_id, text ORDER BY sent_idx) AS n FROM media)"),
     "contract_hash_resolution": V.sql(_MEDIA, """, c AS (SELECT *, row_number() OVER (PARTITION BY document_id, text ORDER BY sent_idx) AS nth FROM media), k AS (SELECT *, row_number() OVER (PARTITION BY document_id, text ORDER BY sent_idx) AS nth FROM media WHERE seq % 6 <> 2)
@@ -312,6 +326,7 @@ ORACLES = {
     "file_settings_join": V.sql(_FILES, "SELECT id, CASE WHEN id % 3 = 0 THEN 'voice' || id % 4 ELSE 'default' END AS voice FROM files"),
     "orphan_checks": V.sql(_FILES, """SELECT 'document_without_file' AS relation, count(*) AS n FROM docs WHERE file_id NOT IN (SELECT id FROM files WHERE id % 97 <> 0)
       UNION ALL SELECT 'file_without_project', count(*) FROM files WHERE project_id NOT IN (SELECT c_custkey FROM customer)"""),
+    "ttl_rows_to_delete": "SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS bytes FROM events WHERE floor(epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(CAST(ts AS TIMESTAMP)))) > 86400",
     "ttl_cleanup_report": """SELECT count(*) AS scanned, count(*) FILTER (g) AS deleted, CAST(coalesce(sum(CASE WHEN g THEN b END), 0) AS BIGINT) AS freed FROM
       (SELECT floor(epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(CAST(ts AS TIMESTAMP)))) > 86400 AS g, floor(value * 100) AS b FROM events)""",
 }
