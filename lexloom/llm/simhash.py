@@ -45,9 +45,9 @@ BANDS, BAND_ROWS = 12, 3
 SHARD_ROWS = 16_384
 #: Deviations added to the expected differing bits, rows and shingles of candidates held at a time.
 DEVIATIONS = 6
-CHECK_ROWS, CHECK_SHINGLES = 20_000, 4_000_000
+CHECK_ROWS, CHECK_SHINGLES = 5_000, 2_000_000
 #: Query-node pairs that a tree walk holds at a time, and rows of shards joined into one walk.
-FRONTIER = 500_000
+FRONTIER = 50_000
 WALK_ROWS = 200_000
 
 #: Ones of each byte's bits, low bit first.
