@@ -328,16 +328,18 @@ def annotate_two_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 def backoff_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per sentence: counters and lists of the nodes that backed off (ids, distinct reasons, distinct spans), and whether one lies below the sentence."""
-    a = selected(spark, sf).where(F.col("level") != notes.LEVEL_NAMES[0]).withColumn("node_id", F.concat(F.lit("n"), (F.col("preorder") + 1).cast("string")))
-    inner = F.col("type") != "Sentence"
+    # No filter on the level: it would be pushed below the selection and work it out twice.
+    a = selected(spark, sf).select("seq", "preorder", "type", "n_words", "reason", (F.col("level") != notes.LEVEL_NAMES[0]).alias("back"))
+    a = a.withColumn("node_id", F.when(F.col("back"), F.concat(F.lit("n"), (F.col("preorder") + 1).cast("string"))))
+    inner = F.col("back") & (F.col("type") != "Sentence")
     # Spans are numbered by words: phrases have PHRASE_TOKENS of them.
     at = F.floor((F.col("preorder") - 1) / (V.PHRASE_TOKENS + 1)) * V.PHRASE_TOKENS
     start = F.when(F.col("type") == "Phrase", at).otherwise(at + F.pmod(F.col("preorder") - 1, F.lit(V.PHRASE_TOKENS + 1)) - 1)
     span = F.when(inner, F.concat(start.cast("string"), F.lit(":"), (start + F.col("n_words")).cast("string")))
     g = a.groupBy("seq").agg(
-        F.array_sort(F.collect_list("node_id")).alias("ids"), F.count_if(inner).alias("backoff_leaf_nodes_count"), F.count(F.lit(1)).alias("backoff_nodes_count"),
-        F.array_sort(F.collect_set(F.coalesce("reason", F.lit("level_backoff")))).alias("reasons"), F.array_sort(F.collect_set(span)).alias("spans"),
-    )
+        F.array_sort(F.collect_list("node_id")).alias("ids"), F.count_if(inner).alias("backoff_leaf_nodes_count"), F.count_if("back").alias("backoff_nodes_count"),
+        F.array_sort(F.collect_set(F.when(F.col("back"), F.coalesce("reason", F.lit("level_backoff"))))).alias("reasons"), F.array_sort(F.collect_set(span)).alias("spans"),
+    ).where("backoff_nodes_count > 0")
     return g.select("seq", "backoff_nodes_count", "backoff_leaf_nodes_count", (F.col("backoff_nodes_count") - F.col("backoff_leaf_nodes_count")).alias("backoff_aggregate_nodes_count"), F.size("spans").alias("backoff_unique_spans_count"), F.array_join("reasons", ",").alias("reasons"), F.sha2(F.array_join("ids", ","), 256).alias("nodes_sha256"), F.sha2(F.array_join("spans", ","), 256).alias("spans_sha256"), (F.col("backoff_leaf_nodes_count") > 0).alias("backoff_in_subtree"))
 
 

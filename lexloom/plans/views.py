@@ -68,7 +68,9 @@ def dep_of(w, pos):
 
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, sent_idx, seq and the arrays toks, pos, tag, dep: a sentence with words is one row, tagged in place."""
-    s = sentences(spark, sf_dir).select("doc_id", "sent_idx", "seq", F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), 0).alias("toks")).where("size(toks) > 0")
+    # A filter on the words would be pushed below their extraction, which would then run twice.
+    worded = sentences(spark, sf_dir).where(F.lower("text").rlike("[a-z']"))
+    s = worded.select("doc_id", "sent_idx", "seq", F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), 0).alias("toks"))
     s = s.withColumn("pos", F.transform("toks", pos_of)).withColumn("tag", F.transform("toks", tag_of))
     return s.withColumn("dep", F.transform(F.arrays_zip("toks", "pos"), lambda x: dep_of(x["toks"], x["pos"])))
 
