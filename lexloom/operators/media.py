@@ -17,7 +17,9 @@ def media_route(spark: SparkSession, sf: str) -> DataFrame:
     f = files(spark, sf)
     local = (F.col("duration") <= MAX_MINUTES * 60) & (F.col("size_bytes") <= MAX_LOCAL_MB * 1024 * 1024)
     route = F.when((F.col("duration") <= 0) | (F.col("size_bytes") <= 0), "error").when(local, "local").otherwise("reject")
-    figures = F.format_string("duration=%.2fm (limit_local=15m), size=%.2fMB (limit_local=250MB)", F.col("duration") / 60.0, F.col("size_bytes") / (1024.0 * 1024))
+    # Java's formatter rounds halves up, so they are rounded to even first: sizes in MB meet exact halves of a hundredth.
+    two = lambda x: F.bround(x, 2)
+    figures = F.format_string("duration=%.2fm (limit_local=15m), size=%.2fMB (limit_local=250MB)", two(F.col("duration") / 60.0), two(F.col("size_bytes") / (1024.0 * 1024)))
     return f.select("id", route.alias("route"), figures.alias("figures"))
 
 
