@@ -26,11 +26,10 @@ def rule_level(kind: Column, text: Column, modal: Column, perfect: Column, nonfi
     """0-based level of a node: words by length and vowels, others by words, characters and verbal marks."""
     n = F.length(text)
     word = F.when(n >= 11, 2).when(n >= 8, 1).otherwise(0) + F.when(F.length(F.regexp_replace(F.lower(text), "[^aeiouy]", "")) >= 4, 1).otherwise(0)
-    words = F.size(F.split(text, " "))
-    score = F.when(words >= 20, 3).when(words >= 12, 2).when(words >= 7, 1).otherwise(0) + F.when(n >= 120, 2).when(n >= 70, 1).otherwise(0)
-    for mark in (modal, perfect, nonfinite):
-        score = score + F.when(mark, 1).otherwise(0)
-    other = F.when(score <= 1, 1).when(score == 2, 2).when(score <= 4, 3).when(score == 5, 4).otherwise(5)
+    words = n - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    # Sums of conditions name each part once and have no branches: a repeated part is worked out once.
+    marks = (words >= 20, words >= 12, words >= 7, n >= 120, n >= 70, modal, perfect, nonfinite)
+    other = F.get(F.array(*[F.lit(x) for x in (1, 1, 2, 3, 3, 4, 5, 5, 5)]), sum((F.coalesce(m, F.lit(False)).cast("int") for m in marks), F.lit(0)))
     return F.when(kind == "Word", F.least(word, F.lit(3))).otherwise(other)
 
 
@@ -38,13 +37,17 @@ def level_name(i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), i + 1)
 
 
+def raw_level(kind: Column, text: Column, toks: str = "toks", pos: str = "pos", tag: str = "tag") -> Column:
+    """The rule's level of a node with these lists."""
+    has = lambda c, xs: F.arrays_overlap(c, F.array(*[F.lit(x) for x in xs]))
+    # The lambda keeps the projection out of whole-stage code: as one method it is too large to be compiled, which takes three times as long.
+    perfect = F.exists(toks, lambda x: x.isin(*V.HAVE_FORMS)) & F.array_contains(tag, "VBN")
+    return rule_level(kind, text, has(toks, V.MODALS), perfect, ~has(pos, ("AUX", "VERB"))).cast("int")
+
+
 def levelled(spark: SparkSession, sf: str) -> DataFrame:
     n = V.nodes(spark, sf)
-    modal = F.exists("toks", lambda x: x.isin(*V.MODALS))
-    perfect = F.exists("toks", lambda x: x.isin(*V.HAVE_FORMS)) & F.array_contains("tag", "VBN")
-    finite = F.exists("pos", lambda x: x.isin("AUX", "VERB"))
-    raw = rule_level(F.col("type"), F.col("content"), modal, perfect, ~finite)
-    return n.select("seq", "preorder", "parent", "type", "content", F.get("pos", F.lit(0)).alias("p"), raw.cast("int").alias("raw"))
+    return n.select("seq", "preorder", "parent", "type", "content", F.get("pos", F.lit(0)).alias("p"), raw_level(F.col("type"), F.col("content")).alias("raw"))
 
 
 def cefr_rule_level(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,18 +55,19 @@ def cefr_rule_level(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    """Level by level: a phrase within one of its sentence; a word below its class's ceiling, the sentence + 2 and its phrase + 1."""
-    n = levelled(spark, sf)
-    s = n.where("type = 'Sentence'").select("seq", F.col("raw").alias("s"))
-    p = n.where("type = 'Phrase'").join(s, "seq").withColumn("level", F.least(F.greatest("raw", F.col("s") - 1), F.least(F.col("s") + 1, F.lit(5))))
-    above = p.select("seq", F.col("preorder").alias("parent"), F.col("level").alias("up"))
+    """Level by level: a phrase within one of its sentence; a word below its class's ceiling, the sentence + 2 and its phrase + 1.
+
+    seq, preorder, parent, type, p, level, s (the sentence's level), up (the level of the phrase, for phrases and words).  The sentence's level is worked out on its row and
+    the phrase's from the words around a word, so levels above a node need no join.
+    """
+    n = V.nodes(spark, sf, phrases=True, s=raw_level(F.lit("Sentence"), F.col("sentence")))
     # The tagger's DET is the article.
     ceiling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv]), F.try_element_at(F.create_map(*[F.lit(x) for kv in CLASS_OF.items() for x in kv]), F.col("p"))), F.lit(5))
-    w = n.where("type = 'Word'").join(s, "seq").join(above, ["seq", "parent"])
-    w = w.withColumn("level", F.least("raw", ceiling, F.least(F.col("s") + 2, F.lit(5)), F.least(F.col("up") + 1, F.lit(5))))
-    cols = ["seq", "preorder", "parent", "type", "p", "level", "s"]
-    top = n.where("type = 'Sentence'").withColumn("level", F.col("raw")).withColumn("s", F.col("raw"))
-    return top.select(*cols).unionByName(p.select(*cols)).unionByName(w.select(*cols))
+    phrase = raw_level(F.lit("Phrase"), F.array_join("phrase_toks", " "), "phrase_toks", "phrase_pos", "phrase_tag")
+    up = F.least(F.greatest(phrase, F.col("s") - 1), F.col("s") + 1, F.lit(5))
+    n = n.select("doc_id", "seq", "preorder", "parent", "type", F.get("pos", F.lit(0)).alias("p"), F.when(F.col("type") == "Word", raw_level(F.lit("Word"), F.col("content"))).alias("raw"), "s", F.when(F.col("type") != "Sentence", up).alias("up"))
+    word = F.least("raw", ceiling, F.col("s") + 2, F.col("up") + 1, F.lit(5))
+    return n.withColumn("level", F.when(F.col("type") == "Word", word).when(F.col("type") == "Phrase", F.col("up")).otherwise(F.col("s"))).drop("raw")
 
 
 def cefr_calibrated(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from lexloom.operators import dataset, media
+from lexloom.operators import dataset, media, qc
 
 
 def test_only_rows_that_can_be_first_are_ranked(spark):
@@ -15,6 +15,10 @@ def test_only_rows_that_can_be_first_are_ranked(spark):
     assert first(kept) == first(rows)
 
 
+def test_levels_above_a_node_need_no_join(spark, sf):
+    assert "Join" not in qc.cefr_qc_probe(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_route_figures_round_halves_as_sql_does(spark, tmp_path):
     # 0.125 MB and 0.375 MB: exact halves of a hundredth.
     spark.createDataFrame([(1, 1, 131072 / 2000), (2, 1, 393216 / 2000)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
