@@ -35,8 +35,8 @@ from .common import batch_of, kept, small_slices, table, texts_of
 CAPACITY = 4096
 END_ID = 1
 BLOCK = 65_536
-#: Words kept with their ids in a worker; beyond it the cache starts afresh.
-CACHE_WORDS = 600_000
+#: Words of a generation kept with their ids in a worker; a full one becomes the old one, whose words come back as they are met.
+CACHE_WORDS = 300_000
 #: White space to str.split but not to the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -48,15 +48,15 @@ def _tokenizer(path: str) -> Tokenizer:
     return t
 
 
-#: Latin letters, then ASCII marks but the apostrophe: such a word is one pre-token, or two.
-_PLAIN = re.compile(r"[^\W\d_]+([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters (below U+0250) that are one letter in lower case too, then ASCII marks but the apostrophe: such a word is one pre-token, or two.
+_PLAIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + r"]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
     """Ids of whole texts.  The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        self.tokenizer, self.known, self.end = _tokenizer(path), {}, struct.pack("<I", end_id)
+        self.tokenizer, self.known, self.old, self.marks, self.end = _tokenizer(path), {}, {}, {}, struct.pack("<I", end_id)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -64,27 +64,37 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are one pre-token each: encoded as one text and told apart by the word-end mark of a pre-token's last id."""
+        out = {}
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            out |= zip(part, [raw[s:e] for s, e in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._ids(part))
+        return out
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word.  Words whose number of pre-tokens is plain to see are encoded as one text and told apart by it: a pre-token's last id is one with the word-end mark."""
-        plain, counts, other = [], [], []
+        """Ids of each word, and of words met on the way.  Letters and the marks behind them are pre-tokens of their own, so their ids are made apart."""
+        known, old, marks = self.known, self.old, self.marks
+        letters, marked, other = set(), [], []
         for w in words:
-            m = _PLAIN.fullmatch(w) if max(w) < "\u0250" else None
-            if m:
-                plain.append(w)
-                counts.append(2 if m[1] else 1)
-            else:
+            m = _PLAIN.fullmatch(w)
+            if not m:
                 other.append(w)
-        out = dict(zip(other, self._ids(other)))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(counts[at : at + 4096])
-            if len(last) != upto[-1]:
-                out |= zip(part, self._ids(part))
                 continue
-            cuts, raw = (last[upto - 1] * 4).tolist(), ids.tobytes()
-            out |= {w: raw[s:e] for w, s, e in zip(part, [0, *cuts], cuts)}
+            bare, end = m.groups()
+            if end:
+                marked.append((w, bare, end))
+            if bare not in known and bare not in old:
+                letters.add(bare)
+        out = dict(zip(other, self._ids(other))) | self._letters([*letters])
+        if len(marks) > 10_000:
+            marks.clear()
+        ends = [*{end for _, _, end in marked}.difference(marks)]
+        marks.update(zip(ends, self._ids(ends)))
+        for w, bare, end in marked:
+            out[w] = (out.get(bare) or known.get(bare) or old[bare]) + marks[end]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -92,10 +102,12 @@ class WordEncoder:
         odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD_SPACE)]
         words = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = [*set(chain.from_iterable(words)).difference(known)]
-        fresh = self._words(new)
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = set(chain.from_iterable(words)).difference(known)
+        again = new.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again)))
+        fresh = self._words([*(new - again)])
         known.update((w, i) for w, i in fresh.items() if len(w) <= 64)
         over = {w: i for w, i in fresh.items() if len(w) > 64}
         get = known.__getitem__ if not over else (lambda w: known[w] if w in known else over[w])

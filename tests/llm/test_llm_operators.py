@@ -130,6 +130,21 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(encoder.encode([text.upper()])[0], "<u4").tolist() == ids_of(text.upper())
 
 
+def test_packing_encodes_a_word_once_whatever_marks_follow(monkeypatch):
+    encoder, sent = packing.WordEncoder(WORDS), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(w for t in texts for w in t.split())
+            return packing._tokenizer(WORDS).encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Spy()
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    for text in ("orange", "orange, orange;; ñandú!", "don't orange, x\u00b2,,", "orange; ñandú... ñandú!"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(text)
+    assert [w for w in sent if "orange" in w] == ["orange"]
+
+
 def test_packing_whole_table(docs):
     rows = packing.best_fit_packing(docs, WORDS).collect()
     n = check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
