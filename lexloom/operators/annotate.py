@@ -221,7 +221,11 @@ def rendered_note() -> Column:
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with what notes read: tense where the class carries one, first token, the first two longer words."""
-    d = notes.described(spark, sf)
+    return describe(V.nodes(spark, sf))
+
+
+def describe(nodes: DataFrame) -> DataFrame:
+    d = notes.describe(nodes)
     longer = F.filter(F.regexp_extract_all("content", F.lit("[a-z]+"), 0), lambda x: F.length(x) >= 4)
     return d.withColumn("tense", F.expr(TENSE)).withColumn("lead", F.get("toks", F.lit(0))).withColumn("_longer", longer).withColumn("long1", F.get("_longer", F.lit(0))).withColumn("long2", F.get("_longer", F.lit(1))).drop("_longer")
 
@@ -253,7 +257,11 @@ def note_novelty_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with the trace of their selection (level, template_id, matched_key, context_key_matched, matched_level_reason, selection_mode, semantic_rejects) and the rendered note."""
-    n = notes.candidates(described(spark, sf))
+    return select_templates(described(spark, sf))
+
+
+def select_templates(described: DataFrame) -> DataFrame:
+    n = notes.candidates(described)
     level, bar = F.lower("type"), F.lit("|")
     k1, k2 = F.concat(level, bar, "part_of_speech", bar, "dep_label", bar, "tam2", bar, "lex"), F.concat(level, bar, "part_of_speech", bar, "dep_label", bar, "lex")
     k3 = F.concat(level, bar, "part_of_speech")
@@ -280,8 +288,10 @@ def _suits(df: DataFrame, note: str, name: str) -> DataFrame:
     return judged.withColumn(name, F.coalesce(F.col("valid") & F.expr(SUITABLE.format(f"lower({note})")), F.lit(False))).drop("valid")
 
 
-def _new(df: DataFrame, tried: Column, note: str, name: str) -> DataFrame:
-    """Whether a tried note is the first of its text in the sentence; those of words always count as new."""
+def _new(df: DataFrame, tried: Column, note: str, name: str, words: bool = False) -> DataFrame:
+    """Whether a tried note is the first of its text in the sentence; those of words always count as new.  words: there are no others."""
+    if words:
+        return df.withColumn(name, tried)
     key = F.when(tried & (F.col("type") != "Word"), F.lower(note))
     first = F.row_number().over(W.Window.partitionBy("seq", key).orderBy("preorder")) == 1
     return df.withColumn(name, tried & ((F.col("type") == "Word") | first))
@@ -292,15 +302,22 @@ def annotated(spark: SparkSession, sf: str, mode: str = "template_only") -> Data
 
     `template_only` tries the rendered template, then the fallback note; `two_stage` only templates, exact ones by the stricter rule.
     """
+    return annotate(described(spark, sf), mode)
+
+
+def annotate(described: DataFrame, mode: str, words: bool = False) -> DataFrame:
+    """The same of described nodes; words: there are no others, so they need no sentence.  Only notes whose judgement counts are judged."""
     if mode not in NOTE_MODES:
         raise ValueError(f"unknown note mode {mode}")
-    s = _suits(selected(spark, sf).withColumn("fallback", fallback_note()), "note", "note_suits")
     exact = F.col("level").isin(*notes.LEVEL_NAMES[:2])
-    s = _new(s, F.col("note_suits") if mode == "template_only" else F.when(exact, F.col("note_suits")).otherwise(F.col("note").isNotNull()), "note", "by_template")
+    s = select_templates(described).withColumn("fallback", fallback_note())
+    s = _suits(s.withColumn("_judged", F.col("note") if mode == "template_only" else F.when(exact, F.col("note"))), "_judged", "note_suits")
+    s = _new(s, F.col("note_suits") if mode == "template_only" else F.when(exact, F.col("note_suits")).otherwise(F.col("note").isNotNull()), "note", "by_template", words)
     flags = lambda *xs: F.array(*[F.lit(x) for x in xs])
     backoff = F.col("level") != notes.LEVEL_NAMES[0]
     if mode == "template_only":
-        s = _new(_suits(s, "fallback", "fallback_suits"), ~F.col("by_template") & F.col("fallback_suits"), "fallback", "by_fallback")
+        s = _suits(s.withColumn("_judged", F.when(~F.col("by_template"), F.col("fallback"))), "_judged", "fallback_suits")
+        s = _new(s, ~F.col("by_template") & F.col("fallback_suits"), "fallback", "by_fallback", words)
         accepted = F.when(F.col("by_template"), F.col("note")).when(F.col("by_fallback"), F.col("fallback"))
         quality = F.when(F.col("by_template"), flags("note_generated", "rule_used", "template_selected")).when(F.col("by_fallback"), flags("note_generated", "rule_used", "template_fallback")).otherwise(flags("no_note"))
         reasons = F.when(F.col("by_template"), flags("RULE_TEMPLATE_NOTE_ACCEPTED")).when(F.col("by_fallback"), flags("RULE_TEMPLATE_MISS", "RULE_TEMPLATE_FALLBACK_ACCEPTED")).otherwise(flags("RULE_TEMPLATE_MISS", "NO_VALID_NOTE"))
@@ -314,16 +331,27 @@ def annotated(spark: SparkSession, sf: str, mode: str = "template_only") -> Data
     return s.withColumn("accepted", accepted).withColumn("quality_flags", quality).withColumn("reason_codes", reasons).withColumn("kind", F.when(F.col("accepted").isNotNull(), kind)).withColumn("confidence", F.when(F.col("accepted").isNotNull(), F.lit(0.65)))
 
 
+_READ = ("type", "part_of_speech", "toks", "tag", "tam2", "lex", "level", "template_id", "reason", "rejects", "accepted", "kind", "confidence", "quality_flags", "reason_codes", "n")
+
+
+def annotated_numbers(spark: SparkSession, sf: str, mode: str, **made: Column) -> DataFrame:
+    """Annotated nodes with how many (n) a row stands for: words that are equal (by columns made of seq) are one row, as their notes do not depend on the sentence; of the rest only texts are shuffled."""
+    rest = V.nodes(spark, sf, dealt=True).where("type <> 'Word'").withColumns(made)
+    rest = annotate(describe(rest), mode).withColumn("n", F.lit(1).cast("long"))
+    words = annotate(describe(V.distinct_words(spark, sf, **made)), mode, words=True)
+    return rest.select(*made, *_READ).unionByName(words.select(*made, *_READ))
+
+
 def _counted(df: DataFrame) -> DataFrame:
-    return df.groupBy("type", "level", "kind", "confidence", F.array_join("quality_flags", ",").alias("quality_flags"), F.array_join("reason_codes", ",").alias("reason_codes")).agg(F.count(F.lit(1)).alias("n"), F.min(F.sha2("accepted", 256)).alias("least"))
+    return df.groupBy("type", "level", "kind", "confidence", F.array_join("quality_flags", ",").alias("quality_flags"), F.array_join("reason_codes", ",").alias("reason_codes")).agg(F.sum("n").alias("n"), F.min(F.sha2("accepted", 256)).alias("least"))
 
 
 def annotate_template_only(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted(annotated(spark, sf))
+    return _counted(annotated_numbers(spark, sf, "template_only"))
 
 
 def annotate_two_stage(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted(annotated(spark, sf, "two_stage"))
+    return _counted(annotated_numbers(spark, sf, "two_stage"))
 
 
 def backoff_report(spark: SparkSession, sf: str) -> DataFrame:

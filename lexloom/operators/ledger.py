@@ -236,14 +236,15 @@ _RATES = {
 
 def note_probes(spark: SparkSession, sf: str) -> DataFrame:
     """The eleven counters of each document's nodes, in the two-stage mode."""
-    a = A.annotated(spark, sf, "two_stage").withColumn("doc_id", F.floor(F.col("seq") / 100_000))
+    a = A.annotated_numbers(spark, sf, "two_stage", doc_id=F.floor(F.col("seq") / 100_000))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     has = lambda *xs: F.arrays_overlap("quality_flags", F.array(*[F.lit(x) for x in xs]))
     made = has("model_used", "model_predicted_template", "rule_used") | (has("note_generated") & ~has("fallback_used"))
-    level = lambda i: F.count_if(F.col("level") == notes.LEVEL_NAMES[i])
+    level = lambda i: count(F.col("level") == notes.LEVEL_NAMES[i])
     mismatch = F.col("template_id").isNotNull() & ~F.coalesce(notes.compatible(F.col("template_id")), F.lit(False))
     return a.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(made).alias("model_notes"), F.count_if(has("fallback_used")).alias("fallback_notes"), F.count_if(F.col("rejects") > 0).alias("rejected_nodes"), level(0).alias("l1_exact"), level(1).alias("l2_drop_tam"), level(2).alias("l3_level_pos"),
-        level(3).alias("l4_fallback"), F.count_if(F.col("level") != notes.LEVEL_NAMES[0]).alias("backoff_nodes"), F.count_if(F.col("reason") == "tam_dropped").alias("tam_drop_nodes"), F.count_if(mismatch).alias("semantic_mismatch_nodes"),
+        F.sum("n").alias("nodes"), count(made).alias("model_notes"), count(has("fallback_used")).alias("fallback_notes"), count(F.col("rejects") > 0).alias("rejected_nodes"), level(0).alias("l1_exact"), level(1).alias("l2_drop_tam"), level(2).alias("l3_level_pos"),
+        level(3).alias("l4_fallback"), count(F.col("level") != notes.LEVEL_NAMES[0]).alias("backoff_nodes"), count(F.col("reason") == "tam_dropped").alias("tam_drop_nodes"), count(mismatch).alias("semantic_mismatch_nodes"),
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lexloom.operators import emission, skeleton
+from pyspark.sql import functions as F
+
+from lexloom.operators import annotate, emission, skeleton
+from lexloom.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +23,11 @@ def test_trees_deal_out_sentences_as_texts(spark):
 def test_examples_of_all_modes_read_the_documents_once(spark):
     for query in (emission.emitted_template_ids, emission.example_emission):
         assert plan(query(spark, SF)).count("Scan parquet") == 1
+
+
+def test_equal_words_are_annotated_once(spark):
+    rows = annotate.annotated_numbers(spark, SF, "two_stage").cache()
+    words = rows.where("type = 'Word'")
+    assert words.count() == words.select("toks").distinct().count()
+    assert rows.agg(F.sum("n")).first()[0] == views.nodes(spark, SF).count()
+    rows.unpersist()
