@@ -14,13 +14,12 @@ each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
+import string
 import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,10 +34,8 @@ from .common import batch_of, kept, small_slices, table, texts_of
 CAPACITY = 4096
 END_ID = 1
 BLOCK = 65_536
-#: Words of a generation kept with their ids in a worker; a full one becomes the old one, whose words come back as they are met.
+#: Parts of texts of a generation kept with their ids in a worker; a full one becomes the old one, whose parts come back as they are met.
 CACHE_WORDS = 300_000
-#: White space to str.split but not to the tokenizer.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 @functools.lru_cache(maxsize=2)
@@ -48,15 +45,52 @@ def _tokenizer(path: str) -> Tokenizer:
     return t
 
 
-#: Latin letters (below U+0250) that are one letter in lower case too, then ASCII marks but the apostrophe: such a word is one pre-token, or two.
-_PLAIN = re.compile("([" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + r"]+)([!-&(-/:-@\[-`{-~]*)")
+#: Classes of UTF-8 bytes: ASCII letters and the lead bytes of U+00C0 to U+024F, marks but the apostrophe, digits, white space; of all others nothing is told.
+LETTER, MARK, DIGIT, SPACE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((LETTER, string.ascii_letters.encode() + bytes(range(0xC3, 0xCA))), (MARK, string.punctuation.replace("'", "").encode()), (DIGIT, string.digits.encode()), (SPACE, b"\t\n\v\f\r ")):
+    _CLASS[[*_bytes]] = _kind
+#: By the classes before and after a place: whether the tokenizer cuts there, whatever stands around.
+_CUTS = np.array([[SPACE in (x, y) and x != y or 0 not in (x, y) and (x != y or x == DIGIT) for y in range(5)] for x in range(5)]).ravel()
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    out = _CLASS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    x, y = data[lead], data[lead + 1]
+    # Two signs that are no letters, and the one letter that lower case makes two characters of.
+    told = ~(((x == 0xC3) & ((y == 0x97) | (y == 0xB7))) | ((x == 0xC4) & (y == 0xB0)))
+    out[lead] = out[lead + 1] = np.where(told, LETTER, 0)
+    return out
+
+
+def _parts(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The texts' parts in turn, and before which part each text starts: cut at white space, which is dropped, and where letters, marks and digits meet."""
+    if not len(texts):
+        return texts, np.zeros(1, np.int64)
+    upto = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    kinds = _classes(data)
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = _CUTS[kinds[:-1] * np.uint8(5) + kinds[1:]]
+    cut[upto - upto[0]] = True
+    at = np.flatnonzero(cut)
+    kept = kinds[at[:-1]] != SPACE
+    starts, lengths = at[:-1][kept], np.diff(at)[kept]
+    data = data[kinds != SPACE]
+    # Letter case is no part of an id, but a mark that joins a letter (U+0300 to U+036F) may know only one case, and it joins before letters are lowered.
+    if not ((data == 0xCC) | (data == 0xCD)).any():
+        data = data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return parts, np.searchsorted(starts, upto - upto[0])
 
 
 class WordEncoder:
-    """Ids of whole texts.  The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn."""
+    """Ids of whole texts.  The tokenizer never merges over white space, nor where its pattern cuts whatever stands around, so a text's ids are its parts' ids in turn."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        self.tokenizer, self.known, self.old, self.marks, self.end = _tokenizer(path), {}, {}, {}, struct.pack("<I", end_id)
+        self.tokenizer, self.known, self.old, self.end = _tokenizer(path), {}, {}, struct.pack("<I", end_id)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -64,58 +98,55 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are one pre-token each: encoded as one text and told apart by the word-end mark of a pre-token's last id."""
+    def _whole(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that are one pre-token each: encoded as one text and told apart by the word-end mark of a pre-token's last id."""
         out = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        for at in range(0, len(parts), 4096):
+            part = parts[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
             out |= zip(part, [raw[s:e] for s, e in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self._ids(part))
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word, and of words met on the way.  Letters and the marks behind them are pre-tokens of their own, so their ids are made apart."""
-        known, old, marks = self.known, self.old, self.marks
-        letters, marked, other = set(), [], []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if not m:
-                other.append(w)
-                continue
-            bare, end = m.groups()
-            if end:
-                marked.append((w, bare, end))
-            if bare not in known and bare not in old:
-                letters.add(bare)
-        out = dict(zip(other, self._ids(other))) | self._letters([*letters])
-        if len(marks) > 10_000:
-            marks.clear()
-        ends = [*{end for _, _, end in marked}.difference(marks)]
-        marks.update(zip(ends, self._ids(ends)))
-        for w, bare, end in marked:
-            out[w] = (out.get(bare) or known.get(bare) or old[bare]) + marks[end]
-        return out
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts met for the first time."""
+        texts = pa.array(parts, pa.large_string())
+        upto = np.frombuffer(texts.buffers()[1], np.int64, len(parts) + 1)
+        told = np.logical_and.reduceat(_classes(np.frombuffer(texts.buffers()[2], np.uint8)) != 0, upto[:-1]).tolist()
+        other = [w for w, x in zip(parts, told) if not x]
+        return self._whole([w for w, x in zip(parts, told) if x]) | dict(zip(other, self._ids(other)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, and the end id."""
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD_SPACE)]
-        words = [t.split() for t in texts]
+    def _of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = set(chain.from_iterable(words)).difference(known)
-        again = new.intersection(old)
-        known.update(zip(again, map(old.__getitem__, again)))
-        fresh = self._words([*(new - again)])
-        known.update((w, i) for w, i in fresh.items() if len(w) <= 64)
-        over = {w: i for w, i in fresh.items() if len(w) > 64}
-        get = known.__getitem__ if not over else (lambda w: known[w] if w in known else over[w])
-        out = [b"".join(map(get, ws)) + self.end for ws in words]
-        for i in odd:
-            out[i] = self._ids([texts[i]])[0] + self.end
+        out = [*map(known.get, parts)]
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            w = parts[i]
+            if w in old:
+                out[i] = known[w] = old[w]
+            else:
+                new.append(i)
+        if new:
+            fresh = self._new([parts[i] for i in new])
+            known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+            for i in new:
+                out[i] = fresh[parts[i]]
         return out
 
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and the end id.  Texts are cut and put together in arrays; Python sees each distinct part once a call."""
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        parts, first = _parts(column)
+        found = parts.dictionary_encode()
+        ids = pa.array(self._of(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        cuts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist() if len(ids) else [0] * len(first)
+        data = memoryview(ids.buffers()[2] or b"")
+        return [b"".join((data[s:e], self.end)) for s, e in zip(cuts, cuts[1:])]
+
 
 def _encoder(path: str) -> WordEncoder:
     """One for all packing tasks of a worker; other operators' tasks drop it."""
@@ -134,7 +165,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
     step = 4 * capacity
     for batch in small_slices(batches, 2_000_000, "packing"):
         rows = []
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
             for k, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
                 rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

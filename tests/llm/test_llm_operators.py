@@ -145,6 +145,22 @@ def test_packing_encodes_a_word_once_whatever_marks_follow(monkeypatch):
     assert [w for w in sent if "orange" in w] == ["orange"]
 
 
+def test_packing_encodes_a_part_once_whatever_its_case_and_neighbours():
+    encoder, sent = packing.WordEncoder(WORDS), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(w for t in texts for w in t.split())
+            return packing._tokenizer(WORDS).encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Spy()
+    plain, odd = ["apple Apple (apple) apple-APPLE", "7apple42 mail.apple@apple.com"], ["J\u030c j\u030c, \u0130! \u00d7!! n\u0303,N\u0303 =\u0338a 'sa!'s pear's \u212b.\u1e9e\x1cpear", "", "\u0302"]
+    for texts in (plain, odd):
+        for got, text in zip(encoder.encode(texts), texts):
+            assert np.frombuffer(got, "<u4").tolist() == ids_of(text)
+    assert [w for w in sent if "apple" in w.lower()] == ["apple"]
+
+
 def test_packing_whole_table(docs):
     rows = packing.best_fit_packing(docs, WORDS).collect()
     n = check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
