@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import annotate, emission, skeleton
+from lexloom.operators import annotate, emission, notes, skeleton
 from lexloom.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +31,20 @@ def test_equal_words_are_annotated_once(spark):
     assert words.count() == words.select("toks").distinct().count()
     assert rows.agg(F.sum("n")).first()[0] == views.nodes(spark, SF).count()
     rows.unpersist()
+
+
+def test_novelty_shuffles_sentences_not_notes(spark):
+    found = plan(annotate.note_novelty_fold(spark, SF))
+    assert found.count("Exchange") == 1 and "REPARTITION_BY_COL" in found
+
+
+def test_words_sure_of_a_valid_note_have_one(spark):
+    words = ("apple", "nodes", "'node", "don't", "node", "content", "sentence", "true", "'", "emphase", "contents", "phrase", "none", "short", "sensence")
+    sound = annotate.sound_wordings()
+    rows = [(t, w, t.replace("{content}", w)) for t in sorted({*annotate.WORD_NOTES.values(), *annotate.VERB_NOTES.values(), *annotate.ARTICLE_NOTES.values(), *annotate.PREPOSITION_NOTES.values(), annotate.WORD_OTHER}) for w in words]
+    judged = notes.with_validity(spark.createDataFrame(rows, "wording string, content string, note string"), "note")
+    sure = F.col("wording").isin(*sound) & ~notes.T.any_match("content", notes.BAD_INSIDE)
+    found = judged.select("wording", "content", "note", "valid", sure.alias("sure")).collect()
+    assert all(r["valid"] == r["sure"] for r in found if r["wording"] in sound)
+    assert all(r["valid"] == notes.is_valid(r["note"]) for r in found)
+    assert len(sound) > 20 and {r["valid"] for r in found} == {True, False}
