@@ -235,24 +235,35 @@ _RATES = {
 
 
 def note_probes(spark: SparkSession, sf: str) -> DataFrame:
-    """The eleven counters of each document's nodes, in the two-stage mode."""
-    a = A.annotated_numbers(spark, sf, "two_stage", doc_id=F.floor(F.col("seq") / 100_000))
-    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    has = lambda *xs: F.arrays_overlap("quality_flags", F.array(*[F.lit(x) for x in xs]))
-    made = has("model_used", "model_predicted_template", "rule_used") | (has("note_generated") & ~has("fallback_used"))
-    level = lambda i: count(F.col("level") == notes.LEVEL_NAMES[i])
-    mismatch = F.col("template_id").isNotNull() & ~F.coalesce(notes.compatible(F.col("template_id")), F.lit(False))
-    return a.groupBy("doc_id").agg(
-        F.sum("n").alias("nodes"), count(made).alias("model_notes"), count(has("fallback_used")).alias("fallback_notes"), count(F.col("rejects") > 0).alias("rejected_nodes"), level(0).alias("l1_exact"), level(1).alias("l2_drop_tam"), level(2).alias("l3_level_pos"),
-        level(3).alias("l4_fallback"), count(F.col("level") != notes.LEVEL_NAMES[0]).alias("backoff_nodes"), count(F.col("reason") == "tam_dropped").alias("tam_drop_nodes"), count(mismatch).alias("semantic_mismatch_nodes"),
-    )
+    """The eleven counters of each document's nodes, in the two-stage mode: counted sentence by sentence (note_totals), so that a few numbers of each document are shuffled."""
+    from . import note_totals
+
+    docs = V.tagged_sentences(spark, sf).select(F.floor(F.col("seq") / 100_000).alias("doc_id"), F.array_join("toks", " ").alias("words"))
+    made = docs.mapInArrow(note_totals.counted, "doc_id long, " + ", ".join(f"{f} long" for f in note_totals.FIELDS))
+    s = made.groupBy("doc_id").agg(*[F.sum(f).alias(f) for f in note_totals.FIELDS])
+    # The mode knows no fallback notes, and only selects compatible templates.
+    none = F.lit(0).cast("long")
+    return s.select("doc_id", "nodes", "model_notes", none.alias("fallback_notes"), "rejected_nodes", *note_totals.FIELDS[3:7], (F.col("nodes") - F.col("l1_exact")).alias("backoff_nodes"), "tam_drop_nodes", none.alias("semantic_mismatch_nodes"))
+
+
+def _report(of: str = "") -> list[Column]:
+    """What a report says of the totals in columns, or in the fields of a struct."""
+    c = lambda name: F.col(f"{of}.{name}" if of else name)
+    rate = lambda name: F.coalesce(F.round(F.try_divide(c(name), c("nodes")), 6), F.lit(0.0))
+    return [c("probe_count").alias("probe_count"), c("nodes").alias("total_nodes"), c("rejected_nodes").alias("rejected_nodes_total"), *[rate(x).alias(name) for name, x in _RATES.items()]]
 
 
 def note_report(probes: DataFrame) -> DataFrame:
     """One row: totals of all probes and their nine rates."""
     s = probes.agg(F.count(F.lit(1)).alias("probe_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS])
-    rate = lambda c: F.coalesce(F.round(F.try_divide(c, F.col("nodes")), 6), F.lit(0.0))
-    return s.select("probe_count", F.col("nodes").alias("total_nodes"), F.col("rejected_nodes").alias("rejected_nodes_total"), *[rate(F.col(c)).alias(name) for name, c in _RATES.items()])
+    return s.select(*_report())
+
+
+def note_reports(probes: DataFrame, **sides: Column) -> DataFrame:
+    """One row with the report of each side's probes as a struct: the probes are counted once."""
+    total = lambda where: F.struct(F.count_if(where).alias("probe_count"), *[F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).alias(c) for c in _COUNTS])
+    s = probes.agg(*[total(where).alias(name) for name, where in sides.items()])
+    return s.select(*[F.struct(*_report(name)).alias(name) for name in sides])
 
 
 def note_probe_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,27 +291,36 @@ def regression_checks(base: DataFrame, candidate: DataFrame, thresholds: dict[st
 
     thresholds: by metric the least gain (direction 1) or the most loss (direction -1) that is asked for.
     """
+    # Two reports of one row each.
+    return _checks(_side(base, "b", base.columns).crossJoin(_side(candidate, "c", candidate.columns)), thresholds)
+
+
+_METRICS = (*[m for _, m, _ in REGRESSION], "probe_count", "total_nodes")
+
+
+def _side(report: DataFrame, side: str, held: list[str]) -> DataFrame:
+    return report.select(*[(lenient_number(F.col(m)) if m in held else F.lit(0.0)).alias(f"{side}_{m}") for m in _METRICS])
+
+
+def _checks(sides: DataFrame, thresholds: dict[str, float] | None) -> DataFrame:
     t = thresholds or {}
-    metrics = [m for _, m, _ in REGRESSION] + ["probe_count", "total_nodes"]
-    b = base.select(*[(lenient_number(F.col(m)) if m in base.columns else F.lit(0.0)).alias(f"b_{m}") for m in metrics])
-    c = candidate.select(*[(lenient_number(F.col(m)) if m in candidate.columns else F.lit(0.0)).alias(f"c_{m}") for m in metrics])
     rows = []
     for name, m, direction in REGRESSION:
         edge = F.col(f"b_{m}") + F.lit(float(t.get(m, 0.0)))
         rows.append(F.struct(F.lit(name).alias("name"), (F.col(f"c_{m}") >= edge if direction > 0 else F.col(f"c_{m}") <= edge).alias("passed"), F.col(f"b_{m}").alias("baseline"), F.col(f"c_{m}").alias("candidate"), F.lit(float(t.get(m, 0.0))).alias("threshold")))
     for side, name in (("b", "baseline"), ("c", "candidate")):
         rows.append(F.struct(F.lit(f"contract_validity_{name}_qc_present").alias("name"), ((F.col(f"{side}_probe_count") > 0) & (F.col(f"{side}_total_nodes") > 0)).alias("passed"), F.col("b_total_nodes").alias("baseline"), F.col("c_total_nodes").alias("candidate"), F.lit(0.0).alias("threshold")))
-    # Two reports of one row each.
-    checks = b.crossJoin(c).select(F.array(*rows).alias("checks"))
+    checks = sides.select(F.array(*rows).alias("checks"))
     return checks.withColumn("overall_passed", F.forall("checks", lambda x: x["passed"])).select("overall_passed", F.inline("checks"))
 
 
 def regression_report(spark: SparkSession, sf: str) -> DataFrame:
     """Even documents as baseline, odd ones as candidate; a loss and a text that is no number stand for training metrics."""
-    p = note_probes(spark, sf)
-    base = note_report(p.where("doc_id % 2 = 0")).withColumn("eval_exact_match", F.lit("0.25")).withColumn("eval_loss", F.lit(0.7))
-    candidate = note_report(p.where("doc_id % 2 = 1")).withColumn("eval_exact_match", F.lit("n/a")).withColumn("eval_loss", F.lit(0.65))
-    return regression_checks(base, candidate, {"accepted_note_rate": -0.05, "rejected_nodes_total": 10_000_000.0})
+    even = F.col("doc_id") % 2
+    both = note_reports(note_probes(spark, sf), b=even == 0, c=even == 1)
+    said = {"b": {"eval_exact_match": F.lit("0.25"), "eval_loss": F.lit(0.7)}, "c": {"eval_exact_match": F.lit("n/a"), "eval_loss": F.lit(0.65)}}
+    sides = both.select(*[lenient_number(said[k][m] if m in said[k] else F.col(f"{k}.{m}")).alias(f"{k}_{m}") for k in said for m in _METRICS])
+    return _checks(sides, {"accepted_note_rate": -0.05, "rejected_nodes_total": 10_000_000.0})
 
 
 def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:

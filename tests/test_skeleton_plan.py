@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexloom.operators import annotate, emission, notes, skeleton, tree_arrays
+from lexloom.operators import annotate, emission, ledger, note_totals, notes, skeleton, tree_arrays
 from lexloom.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,19 @@ def test_examples_are_totalled_without_their_texts(spark, tmp_path):
     found = plan(query)
     assert "target#" not in found and found.count("Sort ") <= 2
     assert {tuple(r) for r in query.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_notes_are_counted_without_their_rows(spark, tmp_path):
+    words = ("before", "while", "although", "the", "cat", "should", "have", "had", "being", "seen", "walking", "ing", "quickly", "of", "my", "and", "is", "'", "'node", "node", "nodes", "content", "phrase", "sentence", "clause", "subordinate", "reason", "concession", "after", "none", "noun", "simple", "note", "with", "to", "don't", "short", "part", "verb", "an")
+    pick = random.Random(3)
+    texts = [". ".join(" ".join(pick.choice(words) for _ in range(pick.choice((1, 2, 3, 4, 5, 8, 9, 40)))) for _ in range(pick.choice((1, 3)))) for _ in range(900)]
+    texts += [*words, "the cat. The cat", "a subordinate clause of reason the subordinate clause of", "before the reason. After a concession", "", "1 2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    a = annotate.annotated_numbers(spark, str(tmp_path), "two_stage", doc_id=F.floor(F.col("seq") / 100_000))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    want = a.groupBy("doc_id").agg(F.sum("n"), count(F.array_contains("quality_flags", "rule_used")), count(F.col("rejects") > 0), *[count(F.col("level") == x) for x in notes.LEVEL_NAMES], count(F.col("reason") == "tam_dropped"))
+    got = ledger.note_probes(spark, str(tmp_path))
+    assert {tuple(r) for r in got.select("doc_id", *note_totals.FIELDS).collect()} == {tuple(r) for r in want.collect()}
+    # Both sides of the report are counted in one reading of the documents, and no note is ranked or judged as a row.
+    found = plan(ledger.regression_report(spark, SF))
+    assert found.count("Scan parquet") == 1 and "Window" not in found
